@@ -19,7 +19,7 @@ def running_budget(stats: DataFrame, order: list[str], options: Options) -> Data
         F.concat("row_no", F.lit("/"), "group_rows").alias("progress"),
         "token_count",
         "running_tokens",
-        F.round(tokens.cost(F.col("running_tokens"), F.lit(options.model)), 6).alias("running_cost"),
+        F.round(tokens.cost(F.col("running_tokens"), F.lit(options.model)), 8).alias("running_cost"),
         F.round(tokens.budget_percent(F.col("running_tokens"), options.hard_limit), 4).alias(
             "budget_percent"
         ),

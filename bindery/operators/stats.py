@@ -86,5 +86,5 @@ def run_totals(stats: DataFrame, model: str = "gpt-4o") -> DataFrame:
             F.sum("total_files").alias("files"),
             F.sum("token_count").alias("tokens"),
         )
-        .withColumn("cost_usd", F.round(tokens.cost(F.col("tokens"), F.lit(model)), 6))
+        .withColumn("cost_usd", F.round(tokens.cost(F.col("tokens"), F.lit(model)), 8))
     )

@@ -295,7 +295,7 @@ def model_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bundle",
         "model",
         "tokens",
-        F.round(tokens.cost(F.col("tokens"), F.col("model")), 6).alias("cost_usd"),
+        F.round(tokens.cost(F.col("tokens"), F.col("model")), 8).alias("cost_usd"),
     )
 
 
@@ -564,7 +564,7 @@ def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sections.render(prepared_files(spark, sf_dir), RUN)
     path = scratch_path(spark, "bundles")
     sinks.write_bundles(rows, path, RUN)
-    back = spark.read.option("wholetext", True).text(path)
+    back = spark.read.text(path, wholetext=True)
     return back.groupBy("bundle_file").agg(
         F.sum(F.length("value").cast("bigint")).alias("chars"),
         F.sum(tx.newlines(F.col("value"))).alias("newlines"),

@@ -64,7 +64,7 @@ def manifest(
         "total_files",
         "character_count",
         "token_count",
-        F.round(tokens.cost(F.col("token_count"), F.lit(options.model)), 6).alias("cost_usd"),
+        F.round(tokens.cost(F.col("token_count"), F.lit(options.model)), 8).alias("cost_usd"),
     )
     if "redactions" in prepared.columns:
         found = prepared.groupBy("bundle").agg(
