@@ -102,7 +102,9 @@ def skew_safe_lookup(
         .limit(HOT_KEYS)
         .select(*on, F.struct(*values).alias("_hot"))
     )
-    rest = table.select(*on, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
+    # Taken from a column: a literal would be folded out of the join key.
+    unsalted = F.when(F.col(weight) > 0, 0)
+    rest = table.select(*on, unsalted.alias("_salt"), F.struct(*values).alias("_cold"))
     salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
         F.pmod(F.hash(*spread_by), F.lit(SALTS)) + 1
     )

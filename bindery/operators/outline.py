@@ -82,10 +82,15 @@ def with_symbols(files: DataFrame) -> DataFrame:
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """One row per symbol of the ``.py`` files."""
+    """One row per symbol of the ``.py`` files.
+
+    A plain explode would have Spark run the function a second time, below, to
+    drop empty arrays early; the outer one does not.
+    """
     return (
         with_symbols(files.filter(F.endswith(F.lower("rel_path"), F.lit(".py"))))
-        .select("bundle", F.col("rel_path").alias("path"), F.explode("symbols").alias("s"))
+        .select("bundle", F.col("rel_path").alias("path"), F.explode_outer("symbols").alias("s"))
+        .filter(F.col("s").isNotNull())
         .select("bundle", "path", "s.*")
         .drop("closes_class")
     )

@@ -1,8 +1,9 @@
 """Bundles as ordered section rows in three layouts.
 
-A section row is ``(bundle, part, key, section)``. Ordering by (part, key)
-within a bundle and ending every section with a newline gives the bundle's
-text; the XML text alone has no newline after its last line.
+A section row is ``(bundle, part, key, section, chars, lines)``. Ordering by
+(part, key) within a bundle and ending every section with a newline gives the
+bundle's text; the XML text alone has no newline after its last line. ``chars``
+and ``lines`` count that newline, so totals need not read the sections.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions import paths, tokens
-from bindery.functions.text import title, xml_escape
+from bindery.functions.text import newlines, title, xml_escape
 from bindery.operators.ordering import number_rows
 from bindery.operators.tree import tree_lines
 from bindery.options import Options
@@ -115,9 +116,9 @@ def _standard_body() -> Column:
     )
 
 
-def _xml_body() -> Column:
+def _xml_body(index: Column) -> Column:
     return _text(
-        F.concat(F.lit("    <document index='"), F.col("doc_index"), F.lit("'>")),
+        F.concat(F.lit("    <document index='"), index, F.lit("'>")),
         F.concat(F.lit("      <source>"), F.col("display_path"), F.lit("</source>")),
         "      <document_content>",
         xml_escape(F.col("text")),
@@ -139,13 +140,30 @@ def _markdown_body() -> Column:
     )
 
 
-def _rows(df: DataFrame, part: int, section: Column, key: Column | None = None) -> DataFrame:
+def _chars(section: Column) -> Column:
+    return F.length(section).cast("bigint") + 1
+
+
+def _lines(section: Column) -> Column:
+    return newlines(section) + 1
+
+
+def _rows(
+    df: DataFrame,
+    part: int,
+    section: Column,
+    key: Column | None = None,
+    chars: Column | None = None,
+    lines: Column | None = None,
+) -> DataFrame:
     empty = F.array().cast("array<string>")
     return df.select(
         "bundle",
         F.lit(part).alias("part"),
         (empty if key is None else key).alias("key"),
         section.alias("section"),
+        (_chars(section) if chars is None else chars).alias("chars"),
+        (_lines(section) if lines is None else lines).alias("lines"),
     )
 
 
@@ -185,15 +203,37 @@ def section_heads(
     return _rows(meta, HEAD, F.concat(prefix, head))
 
 
+def _body(output_format: str, index: Column) -> Column:
+    if output_format == "xml":
+        return _xml_body(index)
+    return _markdown_body() if output_format == "markdown" else _standard_body()
+
+
+def measure(files: DataFrame, options: Options) -> DataFrame:
+    """Add ``body_chars`` and ``body_lines`` while the text is at hand.
+
+    The digits of the XML index are left out; they are added once known.
+    """
+    body = _body(options.output_format, F.lit(""))
+    return files.withColumn("body_chars", _chars(body)).withColumn("body_lines", _lines(body))
+
+
 def section_bodies(files: DataFrame, options: Options) -> DataFrame:
     """One section per readable file. Only XML prints the index, so only XML numbers."""
+    measured = "body_chars" in files.columns
     files = files.filter(F.col("read_error").isNull())
-    key = paths.components(F.col("rel_path"))
+    index = F.lit("")
     if options.output_format == "xml":
         files = files.join(doc_index(files), ["bundle", "rel_path"])
-        return _rows(files, BODY, _xml_body(), key)
-    body = _markdown_body() if options.output_format == "markdown" else _standard_body()
-    return _rows(files, BODY, body, key)
+        index = F.col("doc_index").cast("string")
+    return _rows(
+        files,
+        BODY,
+        _body(options.output_format, index),
+        paths.components(F.col("rel_path")),
+        F.col("body_chars") + F.length(index) if measured else None,
+        F.col("body_lines") if measured else None,
+    )
 
 
 def render(
@@ -246,8 +286,7 @@ def bundle_text(
     A bundle under ``max_chars`` is one chunk, its whole text. A larger one is
     cut between sections, so no task holds more than a chunk and one section.
     """
-    size = F.length("section").cast("bigint") + 1
-    keys = sections.select("bundle", "part", "key", size.alias("chars"))
+    keys = sections.select("bundle", "part", "key", "chars")
     placed = number_rows(keys, ["bundle"], ["part", "key"], ["chars"]).select(
         "bundle",
         "part",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions import paths, tokens
-from bindery.functions.text import newlines
 
 
 def _type(path: Column) -> Column:
@@ -43,8 +42,8 @@ def text_totals(sections: DataFrame, output_format: str = "standard") -> DataFra
     return (
         sections.groupBy("bundle")
         .agg(
-            (F.sum(F.length("section").cast("bigint") + 1) - open_end).alias("character_count"),
-            (F.sum(newlines(F.col("section")) + 1) + 1 - open_end).alias("line_count"),
+            (F.sum("chars") - open_end).alias("character_count"),
+            (F.sum("lines") + 1 - open_end).alias("line_count"),
         )
         .withColumn("token_count", tokens.estimate(F.col("character_count")))
     )

@@ -120,12 +120,10 @@ def plant_both_lines(doc_id: Column) -> Column:
     return F.concat(plant_hash_lines(doc_id), plant_slash_lines(doc_id))
 
 
-def kept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.kept(filters.classify(documents(spark, sf_dir), RUN))
-
-
-def prepared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.prepare(kept_files(spark, sf_dir), RUN)
+def prepared_files(spark: SparkSession, sf_dir: str, options: Options = RUN) -> DataFrame:
+    """Kept, redacted documents, from one pass over the text."""
+    classified = filters.classify(documents(spark, sf_dir), options)
+    return filters.kept(runs.materialise(classified, options))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,7 +370,7 @@ def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sections(output_format: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         options = Options(as_of=RUN.as_of, output_format=output_format)
-        rows = sections.render(prepared_files(spark, sf_dir), options)
+        rows = sections.render(prepared_files(spark, sf_dir, options), options)
         return sections.number_sections(rows)
 
     return query
@@ -429,13 +427,13 @@ def bundle_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bundle_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The XML text cut at 20,000 characters, to exercise the chunk borders."""
     options = Options(as_of=RUN.as_of, output_format="xml")
-    rows = sections.render(prepared_files(spark, sf_dir), options)
+    rows = sections.render(prepared_files(spark, sf_dir, options), options)
     return sections.bundle_text(rows, "xml", max_chars=20_000)
 
 
 def all_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = Options(as_of=RUN.as_of, output_format="markdown")
-    rows = sections.render(prepared_files(spark, sf_dir), options)
+    rows = sections.render(prepared_files(spark, sf_dir, options), options)
     return sections.all_bundles(rows, "markdown")
 
 
@@ -464,10 +462,7 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: filter, redact, render, count and price each source."""
-    classified = filters.classify(documents(spark, sf_dir), RUN)
-    files = runs.prepare(filters.kept(classified), RUN)
-    counted = stats.bundle_stats(files, sections.render(files, RUN))
-    return runs.manifest(counted, RUN, files, classified)
+    return runs.build(filters.classify(documents(spark, sf_dir), RUN), RUN).manifest
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

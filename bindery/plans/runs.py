@@ -107,18 +107,23 @@ class Run:
     skips: DataFrame
 
 
-def build(classified: DataFrame, options: Options, prompts: DataFrame | None = None) -> Run:
-    """Run the tests and text stages once, into a table; every result reads that.
+def materialise(classified: DataFrame, options: Options) -> DataFrame:
+    """Run the tests and text stages once, into a table that all else reads.
 
-    Skipped files stay in the table without their text.
+    Skipped files stay in the table without their text. Steps that order,
+    count or draw then scan only the narrow columns, not the text again.
     """
     spark = classified.sparkSession
     table = scratch_path(spark, "prepared")
     is_kept = F.col("skip_reason").isNull()
-    prepare(
-        classified.withColumn("text", F.when(is_kept, F.col("text"))), options
-    ).write.parquet(table)
-    classified = spark.read.parquet(table)
+    prepared = prepare(classified.withColumn("text", F.when(is_kept, F.col("text"))), options)
+    sections.measure(prepared, options).write.parquet(table)
+    return spark.read.parquet(table)
+
+
+def build(classified: DataFrame, options: Options, prompts: DataFrame | None = None) -> Run:
+    """All results of a run over one materialised table."""
+    classified = materialise(classified, options)
     prepared = filters.kept(classified)
     rows = sections.render(prepared, options, prompts)
     run_stats = stats.bundle_stats(prepared, rows, options.output_format)

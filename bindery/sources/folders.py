@@ -9,7 +9,6 @@ for files that earlier tests have not already dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -30,7 +29,6 @@ SPLIT_BYTES = 128 << 20
 WHOLE, HEAD_ONLY = -1, 1024
 
 
-@lru_cache(maxsize=64)
 def _filesystem(root: str) -> tuple[pafs.FileSystem, str]:
     if "://" in root or root.startswith("file:"):
         return pafs.FileSystem.from_uri(root)
@@ -43,9 +41,11 @@ def _join(*parts: str) -> str:
 
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The entries of each folder; a folder that cannot be listed has none."""
+    opened: dict[str, tuple[pafs.FileSystem, str]] = {}
     for batch in batches:
         for row in batch.itertuples(index=False):
-            filesystem, base = _filesystem(row.root)
+            filesystem, base = opened.get(row.root) or _filesystem(row.root)
+            opened[row.root] = filesystem, base
             try:
                 entries = filesystem.get_file_info(pafs.FileSelector(_join(base, row.dir)))
             except OSError:
@@ -105,6 +105,7 @@ def list_files(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fill ``content`` up to ``want`` bytes; an unreadable file gets a message."""
+    opened: dict[str, tuple[pafs.FileSystem, str]] = {}
     for batch in batches:
         contents: list[bytes | None] = []
         errors: list[str | None] = []
@@ -112,7 +113,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in batch.itertuples(index=False):
             content, error = None, None
             if row.want:
-                filesystem, base = _filesystem(row.root)
+                filesystem, base = opened.get(row.root) or _filesystem(row.root)
+                opened[row.root] = filesystem, base
                 try:
                     with filesystem.open_input_stream(_join(base, row.rel_path), compression=None) as f:
                         content = f.read(None if row.want == WHOLE else int(row.want))
