@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions.paths import components
 from bindery.operators.ordering import skew_safe_lookup
@@ -14,7 +14,11 @@ _FOLDER, _FILE = "0", "1"
 
 
 def _nodes(files: DataFrame) -> DataFrame:
-    """Files and distinct folders: ``(bundle, key, is_folder)``."""
+    """Files and distinct folders ``(bundle, key, is_folder, weight)``.
+
+    The weight of a folder is its files plus the filled folders below it: how
+    often its children and descendants will look it up.
+    """
     named = files.select("bundle", components(F.col("rel_path")).alias("parts")).select(
         "bundle",
         F.transform(
@@ -24,18 +28,30 @@ def _nodes(files: DataFrame) -> DataFrame:
     )
     folders = (
         named.filter(F.size("folder") > 0)
-        .select("bundle", "folder")
-        .distinct()
-        .select("bundle", F.explode(F.sequence(F.lit(1), F.size("folder"))).alias("n"), "folder")
-        .select("bundle", F.slice("folder", F.lit(1), F.col("n")).alias("key"))
-        .distinct()
+        .groupBy("bundle", "folder")
+        .agg(F.count(F.lit(1)).alias("files"))
+        .select("bundle", "folder", "files", F.explode(_levels("folder")).alias("level"))
+        .groupBy("bundle", F.slice("folder", F.lit(1), F.col("level")).alias("key"))
+        .agg(
+            F.sum(F.when(F.col("level") == F.size("folder"), F.col("files") + 1).otherwise(1)).alias(
+                "weight"
+            )
+        )
     )
     leaves = named.select("bundle", F.concat("folder", F.array("leaf")).alias("key"))
     return folders.withColumn("is_folder", F.lit(True)).unionByName(
-        leaves.withColumn("is_folder", F.lit(False))
+        leaves.withColumn("is_folder", F.lit(False)).withColumn("weight", F.lit(0).cast("bigint"))
     )
 
 
+def _levels(key: str) -> Column:
+    return F.sequence(F.lit(1), F.size(key))
+
+
+def _parent(key: str) -> Column:
+    return F.slice(key, F.lit(1), F.size(key) - 1)
+
+
 def tree_lines(files: DataFrame) -> DataFrame:
     """``(bundle, key, line)``; ordering by key gives the printed tree.
 
@@ -44,57 +60,39 @@ def tree_lines(files: DataFrame) -> DataFrame:
     the last flags of its own ancestors, and looked up by its children. Nodes
     and indents are read by several steps, so both are kept; they hold paths only.
     """
-    nodes = durable(_nodes(files))
-    folders = nodes.filter("is_folder").select("bundle", "key")
-    parent = F.slice("key", F.lit(1), F.size("key") - 1)
+    nodes = _nodes(files)
     last = (
-        nodes.groupBy("bundle", parent.alias("parent"))
-        .agg(F.max(F.element_at("key", -1)).alias("name"), F.count(F.lit(1)).alias("children"))
-        .select(
-            "bundle",
-            F.concat("parent", F.array("name")).alias("key"),
-            F.lit(True).alias("last"),
-            "parent",
-            "children",
-        )
+        nodes.groupBy("bundle", _parent("key").alias("parent"))
+        .agg(F.max(F.element_at("key", -1)).alias("name"))
+        .select("bundle", F.concat("parent", F.array("name")).alias("key"), F.lit(True).alias("last"))
     )
-    # Every node, with its own flag: the join key is unique on both sides.
-    flagged = nodes.join(last.select("bundle", "key", "last"), ["bundle", "key"], "left").select(
-        "bundle", "key", "is_folder", F.coalesce("last", F.lit(False)).alias("last")
+    # The join key is unique on both sides.
+    flagged = durable(
+        nodes.join(last, ["bundle", "key"], "left").fillna(False, ["last"])
     )
+    folders = flagged.filter("is_folder")
 
-    # Folder -> its ancestors' flags -> the indent its children start with.
-    folder_flags = flagged.filter("is_folder").select("bundle", "key", "last")
     steps = folders.select(
-        "bundle",
-        F.col("key").alias("folder"),
-        F.explode(F.sequence(F.lit(1), F.size("key"))).alias("level"),
+        "bundle", F.col("key").alias("folder"), "weight", F.explode(_levels("key")).alias("level")
     ).withColumn("key", F.slice("folder", F.lit(1), F.col("level")))
-    weights = steps.groupBy("bundle", "key").agg(F.count(F.lit(1)).alias("uses"))
     looked_up = skew_safe_lookup(
-        steps,
-        folder_flags.join(weights, ["bundle", "key"]),
-        ["bundle", "key"],
-        ["last"],
-        "uses",
-        ["folder", "level"],
+        steps, folders, ["bundle", "key"], ["last"], "weight", ["folder", "level"]
     )
     bars = F.transform(
         F.sort_array(F.collect_list(F.struct("level", "last"))),
         lambda s: F.when(s["last"], "    ").otherwise("│   "),
     )
     indents = durable(
-        looked_up.groupBy("bundle", F.col("folder").alias("parent"))
-        .agg(F.array_join(bars, "").alias("indent"))
-        .join(last.select("bundle", "parent", "children"), ["bundle", "parent"])
+        looked_up.groupBy("bundle", F.col("folder").alias("parent")).agg(
+            F.array_join(bars, "").alias("indent"), F.max("weight").alias("weight")
+        )
     )
-
     named = skew_safe_lookup(
-        flagged.withColumn("parent", parent),
+        flagged.drop("weight").withColumn("parent", _parent("key")),
         indents,
         ["bundle", "parent"],
         ["indent"],
-        "children",
+        "weight",
         ["key"],
     )
     line = F.concat(

@@ -462,7 +462,7 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: filter, redact, render, count and price each source."""
-    return runs.build(filters.classify(documents(spark, sf_dir), RUN), RUN).manifest
+    return runs.Run(filters.classify(documents(spark, sf_dir), RUN), RUN).manifest
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

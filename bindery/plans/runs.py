@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -94,19 +94,6 @@ def report_lines(run_stats: DataFrame, options: Options) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Run:
-    """The results of one run, all lazy over the prepared table."""
-
-    prepared: DataFrame
-    sections: DataFrame
-    stats: DataFrame
-    manifest: DataFrame
-    budget: DataFrame
-    redactions: DataFrame | None
-    skips: DataFrame
-
-
 def materialise(classified: DataFrame, options: Options) -> DataFrame:
     """Run the tests and text stages once, into a table that all else reads.
 
@@ -121,24 +108,46 @@ def materialise(classified: DataFrame, options: Options) -> DataFrame:
     return spark.read.parquet(table)
 
 
-def build(classified: DataFrame, options: Options, prompts: DataFrame | None = None) -> Run:
-    """All results of a run over one materialised table."""
-    classified = materialise(classified, options)
-    prepared = filters.kept(classified)
-    rows = sections.render(prepared, options, prompts)
-    run_stats = stats.bundle_stats(prepared, rows, options.output_format)
-    return Run(
-        prepared=prepared,
-        sections=rows,
-        stats=run_stats,
-        manifest=manifest(run_stats, options, prepared, classified),
-        budget=budget.running_budget(run_stats, ["bundle"], options),
-        redactions=redact.redaction_log(prepared) if options.redact else None,
-        skips=filters.skip_counts(classified),
-    )
-
-
-def write(run: Run, path: str, options: Options) -> None:
-    """Bundles below ``bundles`` and the run report below ``report``."""
-    sinks.write_bundles(run.sections, f"{path}/bundles", options)
-    sinks.write_report(run.manifest, f"{path}/report")
+class Run:
+    """The results of one run, each planned when first asked for."""
+
+    def __init__(
+        self, classified: DataFrame, options: Options, prompts: DataFrame | None = None
+    ) -> None:
+        self.options = options
+        self.prompts = prompts
+        self.classified = materialise(classified, options)
+        self.prepared = filters.kept(self.classified)
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        return sections.render(self.prepared, self.options, self.prompts)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return stats.bundle_stats(self.prepared, self.sections, self.options.output_format)
+
+    @cached_property
+    def manifest(self) -> DataFrame:
+        return manifest(self.stats, self.options, self.prepared, self.classified)
+
+    @cached_property
+    def budget(self) -> DataFrame:
+        return budget.running_budget(self.stats, ["bundle"], self.options)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return stats.run_totals(self.stats, self.options.model)
+
+    @cached_property
+    def redactions(self) -> DataFrame:
+        return redact.redaction_log(self.prepared)
+
+    @cached_property
+    def skips(self) -> DataFrame:
+        return filters.skip_counts(self.classified)
+
+    def write(self, path: str) -> None:
+        """Bundles below ``bundles`` and the run report below ``report``."""
+        sinks.write_bundles(self.sections, f"{path}/bundles", self.options)
+        sinks.write_report(self.manifest, f"{path}/report")
