@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Stands in for a genuine U+FFFD while malformed bytes are dropped.
@@ -9,15 +11,35 @@ _KEEP = "\ufdd0\ufdd1\ufdd0"
 _MARK = "\ufffd"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` standing once in the plan.
+
+    A filter on the result of chained stages is rewritten below them by putting
+    each stage's definition in place of its column. Stages that name their input
+    several times would make that expression grow with a power of the stages.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shielded(raw: Column) -> Column:
+    marked = F.replace(raw, F.lit(_MARK), F.lit(_KEEP))
+    cleaned = F.replace(F.make_valid_utf8(marked), F.lit(_MARK), F.lit(""))
+    return F.replace(cleaned, F.lit(_KEEP), F.lit(_MARK))
+
+
+def _unix_lines(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def decode(content: Column) -> Column:
     """UTF-8 text with malformed bytes dropped and newlines made ``\\n``."""
-    raw = content.cast("string")
-    shielded = F.replace(raw, F.lit(_MARK), F.lit(_KEEP))
-    cleaned = F.replace(F.make_valid_utf8(shielded), F.lit(_MARK), F.lit(""))
-    restored = F.replace(cleaned, F.lit(_KEEP), F.lit(_MARK))
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(restored)
-    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.when(F.contains(raw, F.lit("\r")), unix).otherwise(text)
+    valid = bind(
+        content.cast("string"),
+        lambda raw: F.when(F.is_valid_utf8(raw), raw).otherwise(_shielded(raw)),
+    )
+    return bind(
+        valid, lambda t: F.when(F.contains(t, F.lit("\r")), _unix_lines(t)).otherwise(t)
+    )
 
 
 def is_binary(content: Column) -> Column:

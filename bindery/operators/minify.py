@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bindery.functions.text import bind
 from bindery.functions.tokens import lookup_literal
 
 # Language by suffix, and the comment families.
@@ -60,13 +61,14 @@ def squeeze(text: Column) -> Column:
 
 def minify(df: DataFrame, column: str = "text", lang: str = "language") -> DataFrame:
     """Minify ``column`` by the comment family of ``lang``."""
-    text, name = F.col(column), F.col(lang)
-    bare = (
-        F.when(name.isin(*HASH_LANGUAGES), strip_hash_comments(text))
+    name = F.col(lang)
+    bare = bind(
+        F.col(column),
+        lambda text: F.when(name.isin(*HASH_LANGUAGES), strip_hash_comments(text))
         .when(name.isin(*SLASH_LANGUAGES), strip_slash_comments(text))
-        .otherwise(text)
+        .otherwise(text),
     )
-    return df.withColumn(column, bare).withColumn(column, squeeze(F.col(column)))
+    return df.withColumn(column, squeeze(bare))
 
 
 def reduction(df: DataFrame, old: str, new: str, by: str) -> DataFrame:

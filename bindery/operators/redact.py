@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bindery.functions.text import bind
+
 # Patterns and placeholders.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 API_KEYS = (
@@ -42,44 +44,70 @@ def name_pattern(name: str) -> str:
     )
 
 
-def _swap(text: Column, found: Column, pattern: str, mark: str) -> Column:
-    """Rewrite only the texts that hold a match."""
-    return F.when(found, F.regexp_replace(text, F.lit(pattern), F.lit(mark))).otherwise(text)
+def _stage(
+    df: DataFrame,
+    column: str,
+    found: str,
+    pattern: str,
+    mark: str,
+    count: Callable[[Column], Column],
+) -> DataFrame:
+    """Count the matches into ``found``, then rewrite only texts that have some."""
+    counted = bind(
+        F.col(column), lambda t: F.struct(count(t).cast("int").alias("n"), t.alias("t"))
+    )
+    rewritten = bind(
+        F.col(found),
+        lambda s: F.when(
+            s["n"] > 0, F.regexp_replace(s["t"], F.lit(pattern), F.lit(mark))
+        ).otherwise(s["t"]),
+    )
+    others = [c for c in df.columns if c != column]
+    return df.withColumn(found, counted).select(
+        *others, rewritten.alias(column), F.col(found)["n"].alias(found)
+    )
 
 
 def redact_names(df: DataFrame, names: Sequence[str], column: str = "text") -> DataFrame:
     """Replace each name, any case, by its numbered mark; adds ``_name_i``."""
     for i, name in numbered_names(names):
         pattern = name_pattern(name)
-        df = df.withColumn(f"_name_{i}", F.col(column).rlike(pattern))
-        df = df.withColumn(column, _swap(F.col(column), F.col(f"_name_{i}"), pattern, f"<USER_{i}>"))
+        df = _stage(
+            df, column, f"_name_{i}", pattern, f"<USER_{i}>", lambda t, p=pattern: t.rlike(p)
+        )
     return df
 
 
 def redact_emails(df: DataFrame, column: str = "text") -> DataFrame:
     """Adds ``_emails``, the distinct addresses of the text."""
-    text = F.col(column)
-    distinct = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))))
-    df = df.withColumn("_emails", F.when(F.contains(text, F.lit("@")), distinct).otherwise(0))
-    return df.withColumn(column, _swap(text, F.col("_emails") > 0, EMAIL, EMAIL_MARK))
+
+    def distinct(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)))
+        return F.when(F.contains(text, F.lit("@")), F.size(found)).otherwise(0)
+
+    return _stage(df, column, "_emails", EMAIL, EMAIL_MARK, distinct)
 
 
 def redact_api_keys(df: DataFrame, column: str = "text") -> DataFrame:
     """Four kinds in turn; adds ``_key_i``, whether the kind was found."""
-    text = F.col(column)
     for i, (pattern, _) in enumerate(API_KEYS):
         start = pattern[2 : pattern.index("[")]
-        df = df.withColumn(f"_key_{i}", F.contains(text, F.lit(start)) & text.rlike(pattern))
-        df = df.withColumn(column, _swap(text, F.col(f"_key_{i}"), pattern, KEY_MARK))
+
+        def has_key(text: Column, start: str = start, pattern: str = pattern) -> Column:
+            return F.contains(text, F.lit(start)) & text.rlike(pattern)
+
+        df = _stage(df, column, f"_key_{i}", pattern, KEY_MARK, has_key)
     return df
 
 
-def _redact_assignments(df: DataFrame, column: str, count: str, words: str, length: int) -> DataFrame:
-    text, pattern = F.col(column), assignment(words, length)
-    separator = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
-    found = F.when(separator, F.regexp_count(text, F.lit(pattern))).otherwise(0)
-    df = df.withColumn(count, found)
-    return df.withColumn(column, _swap(text, F.col(count) > 0, pattern, "$1=" + SECRET_MARK))
+def _redact_assignments(df: DataFrame, column: str, found: str, words: str, length: int) -> DataFrame:
+    pattern = assignment(words, length)
+
+    def matches(text: Column) -> Column:
+        separator = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+        return F.when(separator, F.regexp_count(text, F.lit(pattern))).otherwise(0)
+
+    return _stage(df, column, found, pattern, "$1=" + SECRET_MARK, matches)
 
 
 def redact_passwords(df: DataFrame, column: str = "text") -> DataFrame:
@@ -101,12 +129,12 @@ def findings(names: Sequence[str]) -> Column:
     records = []
     for i, name in numbered_names(names):
         message = F.lit(f"Replaced '{name}' with <USER_{i}>")
-        records.append(_finding("name", F.col(f"_name_{i}").cast("int"), message))
+        records.append(_finding("name", F.col(f"_name_{i}"), message))
     emails = F.concat(F.lit("Redacted "), F.col("_emails"), F.lit(" email address(es)"))
     records.append(_finding("email", F.col("_emails"), emails))
     for i, (_, kind) in enumerate(API_KEYS):
         records.append(
-            _finding("api_key", F.col(f"_key_{i}").cast("int"), F.lit(f"Redacted {kind}"))
+            _finding("api_key", F.col(f"_key_{i}"), F.lit(f"Redacted {kind}"))
         )
     for kind, count in (("password", "_passwords"), ("secret", "_secrets")):
         message = F.concat(
