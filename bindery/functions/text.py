@@ -11,6 +11,17 @@ _KEEP = "\ufdd0\ufdd1\ufdd0"
 _MARK = "\ufffd"
 
 
+# White space and its opposite as Unicode has them, plus 1C to 1F. The (?U) flag
+# makes the class mean the same in every Java version.
+SPACE = r"[\s\x1c-\x1f]"
+INK = r"[^\s\x1c-\x1f]"
+# Borders of words made of letters, digits and underscore of any script, where
+# the character after (before) the border is known to be ASCII.
+_WORD, _ASCII = r"[\p{L}\p{N}_]", "[A-Za-z0-9_]"
+BORDER_BEFORE = rf"(?:(?={_ASCII})(?<!{_ASCII})(?<!{_WORD})|(?!{_ASCII})(?<={_WORD}))"
+BORDER_AFTER = rf"(?:(?<={_ASCII})(?!{_WORD})|(?<!{_ASCII})(?={_WORD}))"
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` standing once in the plan.
 

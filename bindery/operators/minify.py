@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bindery.functions.text import bind
+from bindery.functions.text import INK, bind
 from bindery.functions.tokens import lookup_literal
 
 # Language by suffix, and the comment families.
@@ -17,7 +19,9 @@ HASH_LANGUAGES = ("python", "bash", "ruby")
 SLASH_LANGUAGES = ("javascript", "typescript", "java", "c", "cpp")
 
 _BLANK = r"[\s\x1c-\x1f&&[^\n]]"
-_INK = r"[^\s\x1c-\x1f]"
+_RARE = r"[\s\x1c-\x1f&&[^\n ]]"
+# Holds every rare blank and more, but is quicker to look for.
+_MAYBE_RARE = r"[\t\x0b\f\r\x1c-\x1f\x85\xa0\u1680-\x{10FFFF}]"
 
 
 def language(ext: Column) -> Column:
@@ -33,8 +37,8 @@ def _without_hash(line: Column) -> Column:
     """A ``#`` line goes, a ``#!`` line stays, an inline ``#`` is cut if quotes pair up."""
     return (
         F.when(~F.contains(line, F.lit("#")), line)
-        .when(line.rlike(r"(?U)\A[\s\x1c-\x1f]*#!"), line)
-        .when(line.rlike(r"(?U)\A[\s\x1c-\x1f]*#"), F.lit(""))
+        .when(line.rlike(rf"(?U)\A{_BLANK}*#!"), line)
+        .when(line.rlike(rf"(?U)\A{_BLANK}*#"), F.lit(""))
         .when(_even(line, '"') & _even(line, "'"), F.substring_index(line, "#", 1))
         .otherwise(line)
     )
@@ -51,12 +55,30 @@ def strip_slash_comments(text: Column) -> Column:
     ).otherwise(text)
 
 
+def _replace_if(needle: str, pattern: str, mark: str) -> Callable[[Column], Column]:
+    """Replace ``pattern`` in texts that hold the needle, a last or a rare blank."""
+
+    def step(text: Column) -> Column:
+        test = (
+            F.contains(text, F.lit(needle))
+            | F.endswith(text, F.lit(" "))
+            | text.rlike(_MAYBE_RARE)
+        )
+        return F.when(test, F.regexp_replace(text, F.lit(pattern), F.lit(mark))).otherwise(text)
+
+    return step
+
+
 def squeeze(text: Column) -> Column:
-    """Indent kept, inner runs to one space, line ends trimmed, blank lines dropped."""
-    runs = rf"(?U)(?<={_INK})(?:{_BLANK}{{2,}}|[\s\x1c-\x1f&&[^\n ]])(?={_INK})"
-    single = F.regexp_replace(text, runs, " ")
-    trimmed = F.regexp_replace(single, rf"(?U)(?<!{_BLANK}){_BLANK}++(?=\n|\z)", "")
-    return F.btrim(F.regexp_replace(trimmed, "\n{2,}", "\n"), F.lit("\n"))
+    """Indent kept, inner runs to one space, line ends trimmed, blank lines dropped.
+
+    Plain prose has nothing to squeeze; cheap tests spare it the replacements.
+    """
+    inner = rf"(?U)(?={_BLANK})(?<={INK})(?:{_BLANK}{{2,}}|{_RARE})(?={INK})"
+    ends = rf"(?U)(?={_BLANK})(?<!{_BLANK}){_BLANK}++(?=\n|\z)"
+    text = bind(text, _replace_if("  ", inner, " "))
+    text = bind(text, _replace_if(" \n", ends, ""))
+    return F.btrim(F.regexp_replace(text, "\n{2,}", "\n"), F.lit("\n"))
 
 
 def minify(df: DataFrame, column: str = "text", lang: str = "language") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions import paths, tokens
-from bindery.functions.text import newlines, title, xml_escape
+from bindery.functions.text import SPACE, newlines, title, xml_escape
 from bindery.operators.ordering import number_rows
 from bindery.operators.tree import tree_lines
 from bindery.options import Options
@@ -53,7 +53,7 @@ def metadata(total_files: Column, options: Options) -> Column:
 
 def prompt_prefix(prompt: Column, output_format: str) -> Column:
     """Prompt block before the bundle; nothing for a blank prompt."""
-    body = F.regexp_replace(prompt, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    body = F.regexp_replace(prompt, rf"(?U)\A{SPACE}+|(?<!{SPACE}){SPACE}++\z", "")
     block = {
         "xml": F.concat(F.lit("<!-- System Instructions -->\n"), body, F.lit("\n\n")),
         "markdown": F.concat(F.lit("## System Instructions\n\n"), body, F.lit("\n\n")),

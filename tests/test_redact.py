@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +71,25 @@ def test_one_pass_over_the_text(spark):
     rows = spark.range(3).select(F.col("id").cast("string").alias("text"))
     plan = redact.redact(rows, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("bxoxb") <= 3
+
+
+def by_hand(text):
+    """The stages with Python's own patterns, for comparison."""
+    text = re.sub(redact.EMAIL, redact.EMAIL_MARK, text)
+    for pattern, _ in redact.API_KEYS:
+        text = re.sub(pattern, redact.KEY_MARK, text)
+    for words, n in (("password|pwd|passwd|pass", 8), ("secret|token|key", 16)):
+        rule = rf"""({words})\s*[=:]\s*["']?({redact.VALUE_CHARS}{{{n},}})["']?"""
+        text = re.sub(rule, rf"\1={redact.SECRET_MARK}", text, flags=re.IGNORECASE)
+    return text
+
+
+def test_random_texts(spark):
+    rng = random.Random(11)
+    bits = ["pass", "PWD", "pa\u017fsword", "\u212aey", "token", "Secret", "=", ":", " ", "\n", "\xa0", "\x1f", '"', "'",
+            "abcdefgh", "x" * 16, "a@b.co", "@", ".org", "|", "\xe9", "\u0131", "_", "-", "%", SK, "AKIA" + "Z9" * 8,
+            "ghp_" + "q" * 36, "xoxb-1-2-z", "1", "\u0e01", "\u00b2"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(4000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [r.text for r in redact.redact(frame).orderBy("i").collect()]
+    assert [(t, g) for t, g in zip(texts, got) if g != by_hand(t)] == []
