@@ -18,7 +18,7 @@ INK = r"[^\s\x1c-\x1f]"
 # Borders of words made of letters, digits and underscore of any script, where
 # the character after (before) the border is known to be ASCII.
 _WORD, _ASCII = r"[\p{L}\p{N}_]", "[A-Za-z0-9_]"
-BORDER_BEFORE = rf"(?:(?={_ASCII})(?<!{_ASCII})(?<!{_WORD})|(?!{_ASCII})(?<={_WORD}))"
+BORDER_BEFORE = rf"(?:(?<!{_ASCII})(?={_ASCII})(?<!{_WORD})|(?!{_ASCII})(?={{start}})(?<={_WORD}))"
 BORDER_AFTER = rf"(?:(?<={_ASCII})(?!{_WORD})|(?<!{_ASCII})(?={_WORD}))"
 
 

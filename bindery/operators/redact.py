@@ -31,13 +31,14 @@ _VALUE_FOLDS = "\u017f\u212a\u0131\u0130"
 def bordered(pattern: str) -> tuple[str, str]:
     """A ``\\b…\\b`` pattern as ``(exact, hint)``.
 
-    The exact one has borders of Unicode words, tried only where the first
-    character fits. The hint is cheap and found in every text with a match.
+    The exact one has borders of Unicode words. The hint is cheap and found in
+    every text with a match.
     """
     body = pattern[2:-2]
     start = body[: body.index("]") + 1] if body[0] == "[" else body[: body.index("[")]
     hint = body.replace("]+@", "]@", 1)
-    return f"(?={start}){BORDER_BEFORE}{body}{BORDER_AFTER}", hint
+    before = BORDER_BEFORE.replace("{start}", start)
+    return before + body.replace("]+@", "]++@", 1) + BORDER_AFTER, hint
 
 
 def _any_case(word: str) -> str:
