@@ -38,6 +38,8 @@ def bordered(pattern: str) -> tuple[str, str]:
     start = body[: body.index("]") + 1] if body[0] == "[" else body[: body.index("[")]
     hint = body.replace("]+@", "]@", 1)
     before = BORDER_BEFORE.replace("{start}", start)
+    if body[0] != "[":
+        before = f"(?={start})" + before
     return before + body.replace("]+@", "]++@", 1) + BORDER_AFTER, hint
 
 
