@@ -279,7 +279,7 @@ def all_bundles(sections: DataFrame, output_format: str = "standard") -> DataFra
 
 
 def bundle_text(
-    sections: DataFrame, output_format: str = "standard", max_chars: int = 1 << 26
+    sections: DataFrame, output_format: str = "standard", max_chars: int = 1 << 24
 ) -> DataFrame:
     """The bundle's text as ``(bundle, chunk, text)``; chunks join up exactly.
 
