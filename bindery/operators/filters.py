@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bindery.functions import paths, text as tx
 from bindery.options import Options, parse_extensions
+from bindery.session import durable
 
 # The reasons a run reports.
 ARCHIVE = "in archive folder"
@@ -116,9 +117,10 @@ def skip_counts(classified: DataFrame) -> DataFrame:
 def first_skips(classified: DataFrame, k: int = 5) -> DataFrame:
     """The first ``k`` skips of a bundle in path order and how many more there are.
 
-    The rank filter lets Spark keep ``k`` rows per bundle before the shuffle.
+    The rank filter lets Spark keep ``k`` rows per bundle before the shuffle. The
+    skipped paths are kept once, so the tests do not run again for the count.
     """
-    rows = skipped(classified)
+    rows = durable(skipped(classified))
     order = Window.partitionBy("bundle").orderBy(paths.components(F.col("rel_path")))
     top = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     counts = rows.groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
