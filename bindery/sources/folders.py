@@ -27,6 +27,7 @@ LIST_BATCH = 10_000
 READ_BATCH_BYTES = 32 << 20
 SPLIT_BYTES = 128 << 20
 WHOLE, HEAD_ONLY = -1, 1024
+MAX_VALUE_BYTES = 2_000_000_000  # a Spark value ends at 2 GiB
 
 
 def _filesystem(root: str) -> tuple[pafs.FileSystem, str]:
@@ -112,7 +113,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start = held = 0
         for row in batch.itertuples(index=False):
             content, error = None, None
-            if row.want:
+            if row.want == WHOLE and row.length > MAX_VALUE_BYTES:
+                error = f"{row.length} bytes do not fit a value"
+            elif row.want:
                 filesystem, base = opened.get(row.root) or _filesystem(row.root)
                 opened[row.root] = filesystem, base
                 try:
