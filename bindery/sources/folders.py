@@ -75,7 +75,12 @@ def _tasks(spark: SparkSession) -> int:
 
 
 def list_files(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
-    """Files below the sources: bundle, root, path, rel_path, ext, length, time."""
+    """Files below the sources: bundle, root, path, rel_path, ext, length, time.
+
+    A bundle comes from one source, so paths are unique within it.
+    """
+    if len({s.bundle for s in sources}) < len(sources):
+        raise ValueError("two sources name the same bundle")
     frontier = spark.createDataFrame(
         [(s.bundle, s.root.rstrip("/"), not s.exclude_subfolders, s.include_archive, "") for s in sources],
         "bundle string, root string, recursive boolean, include_archive boolean, dir string",

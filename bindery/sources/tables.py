@@ -10,7 +10,10 @@ from bindery.functions import paths
 def as_files(
     table: DataFrame, bundle: Column, rel_path: Column, text: Column, mtime: Column, root: str
 ) -> DataFrame:
-    """Project a table with one text per row to the files schema."""
+    """Project a table with one text per row to the files schema.
+
+    ``rel_path`` must be unique within its bundle, as paths of files are.
+    """
     base = F.concat(F.lit(root + "/"), bundle)
     return table.select(
         bundle.alias("bundle"),

@@ -78,6 +78,11 @@ def test_uri_roots_and_missing_folders(spark, projects):
     assert [p for _, p in kept] == sorted(ORDER)
 
 
+def test_two_sources_cannot_share_a_bundle(spark, projects):
+    with pytest.raises(ValueError):
+        folders.list_files(spark, [Source(str(projects), "p"), Source("/elsewhere", "p")])
+
+
 def test_reasons_and_their_order(spark, tmp_path):
     root = put(tmp_path / "src", {
         ".gitignore": "*.md\n", ".gptignore": "# mine\n*.log\n!keep.log\n/gen/\n",
