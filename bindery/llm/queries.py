@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.llm import secrets
+from bindery.llm import crf_language, secrets, winnowing
 from bindery.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_language.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_language_identification": op3_language_identification,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_secret_scan": op8_secret_scan,
 }
 
