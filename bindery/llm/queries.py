@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.llm import crf_language, secrets, winnowing
+from bindery.llm import crf_language, secrets, sentencepiece_fst, winnowing
 from bindery.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_language.digest(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_language_identification": op3_language_identification,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_secret_scan": op8_secret_scan,
