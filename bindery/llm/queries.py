@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.llm import crf_language, secrets, sentencepiece_fst, winnowing
+from bindery.llm import crf_language, fuzzy_lines, grouped_prefix, secrets, sentencepiece_fst, token_files, url_filter, winnowing
 from bindery.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.digest(table(spark, sf_dir, "pages"))
+
+
 def op3_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_language.digest(table(spark, sf_dir, "documents"))
 
@@ -24,15 +28,31 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return winnowing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_prefix.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_url_filter": op2_url_filter,
     "op3_language_identification": op3_language_identification,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_token_counts": op5_token_counts,
     "op8_secret_scan": op8_secret_scan,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 #: DuckDB SQL where it can express the result.

@@ -185,13 +185,19 @@ def decode(tokens: DataFrame, model: str = MODEL, column: str = "token_ids", int
     return tokens.withColumn(into, codec(tokens.sparkSession, model)[1](F.col(column)))
 
 
-def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """Per document: ids, their number, and whether decoding gives the text back."""
+def tokenized(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, token_ids, n_tokens, and ``restored``: whether decoding gives the text back."""
     encoded = encode(docs.select("doc_id", "text"), model)
-    back: Column = F.translate("text", SPACE, " ")
+    text: Column = F.translate("text", SPACE, " ")
     return decode(encoded, model, into="decoded").select(
         "doc_id",
+        "token_ids",
         F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("token_ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
-        F.col("decoded").eqNullSafe(back).alias("restored"),
+        F.col("decoded").eqNullSafe(text).alias("restored"),
     )
+
+
+def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """Per document the number of ids, their hash, and whether they decode to the text."""
+    ids = F.array_join(F.transform("token_ids", lambda i: i.cast("string")), ",")
+    return tokenized(docs, model).select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), "restored")
