@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.llm import crf_language, fuzzy_lines, grouped_prefix, secrets, sentencepiece_fst, token_files, url_filter, winnowing
+from bindery.llm import crf_language, fuzzy_lines, grouped_prefix, secrets, sentencepiece_fst, stable_projections, token_files, url_filter, winnowing
 from bindery.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable_projections.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_identification": op3_language_identification,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
