@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.llm import crf_language, fuzzy_lines, grouped_prefix, secrets, sentencepiece_fst, stable_projections, token_files, url_filter, winnowing
+from bindery.llm import (
+    crf_language,
+    fuzzy_lines,
+    grouped_prefix,
+    secrets,
+    sentencepiece_fst,
+    stable_projections,
+    suffix_automata,
+    token_files,
+    url_filter,
+    winnowing,
+)
 from bindery.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +47,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_projections.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_automata.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -55,10 +70,8 @@ QUERIES: dict[str, Query] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-
-#: DuckDB SQL where it can express the result.
-ORACLES: dict[str, str] = {}

@@ -31,7 +31,7 @@ LINK_TAG = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH_TAG = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH_TO = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
-TRACKING = r"(?i)(?<=[?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*(?:&|$)"
+TRACKING = r"(?i)([?&])(?:(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*(?:&|$))+"
 
 
 def host_of(url: Column | str) -> Column:
@@ -47,8 +47,8 @@ def path_of(url: Column | str) -> Column:
 def one_spelling(url: Column) -> Column:
     """The address without what usually redirects: scheme, ``www.``, default port, fragment, tracking, last slash."""
     rest = F.regexp_replace(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)$", 1), r"(?s)#.*$", "")
-    rest = F.regexp_replace(F.regexp_replace(rest, TRACKING, ""), r"[?&]$", "")
-    rest = F.regexp_replace(rest, r"/(?=\?|$)", "")
+    rest = F.regexp_replace(F.regexp_replace(rest, TRACKING, "$1"), r"[?&]$", "")
+    rest = F.regexp_replace(rest, r"^([^?]*)/(\?|$)", "$1$2")
     return F.concat(F.regexp_replace(host_of(url), r"^www\.|:(?:80|443)$", ""), rest)
 
 
