@@ -24,11 +24,11 @@ def components(path: Column) -> Column:
     return F.split(path, "/")
 
 
-def display_path(bundle: Column, root: Column, path: Column) -> Column:
+def display_path(top: Column, root: Column, path: Column) -> Column:
     """``top/rel`` below the root, ``top/name`` elsewhere."""
     below = F.startswith(path, F.concat(root, F.lit("/")))
     rel = F.substring(path, F.length(root) + 2, F.length(path))
-    return F.concat_ws("/", bundle, F.when(below, rel).otherwise(file_name(path)))
+    return F.concat_ws("/", top, F.when(below, rel).otherwise(file_name(path)))
 
 
 def in_archive(path: Column) -> Column:
@@ -37,11 +37,11 @@ def in_archive(path: Column) -> Column:
 
 
 def is_sensitive(path: Column, patterns: Sequence[str]) -> Column:
-    """Names match in any case; plain patterns also match the end of the path.
+    """Names match in any case; plain patterns also match the end of the path as they are.
 
     One expression over the path, so a computed path is not repeated per pattern.
     """
-    names = "|".join(segment_regex(p, "[^/]") for p in patterns)
+    names = "|".join(segment_regex(p, "[^/]") for p in patterns if "/" not in p)
     ends = "|".join(segment_regex(p, "[^/]") for p in patterns if "*" not in p)
     tests = [rf"(?:\A|/)(?iu:{names})\z"] if names else []
     tests += [rf"(?:{ends})\z"] if ends else []

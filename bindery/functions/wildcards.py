@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 
+def class_end(glob: str, start: int) -> int:
+    """Where the character class opened at ``start`` closes, or -1; a first ``]`` is a member."""
+    first = start + 1 + (glob[start + 1 : start + 2] in ("!", "^"))
+    return glob.find("]", first + 1)
+
+
+def check_ranges(body: str) -> None:
+    """Raise ``ValueError`` for a range that runs backwards, such as ``z-a``."""
+    i = 0
+    while i < len(body):
+        if body[i + 1 : i + 2] == "-" and i + 2 < len(body):
+            if body[i] > body[i + 2]:
+                raise ValueError(f"bad range {body[i : i + 3]}")
+            i += 2
+        i += 1
+
+
 def segment_regex(glob: str, any_char: str) -> str:
     """One name or path segment; ``any_char`` is what ``?`` and ``*`` may stand for."""
     out, i = [], 0
     while i < len(glob):
         ch = glob[i]
-        close = glob.find("]", i + 2) if ch == "[" else -1
+        close = class_end(glob, i) if ch == "[" else -1
         if ch == "*":
             out.append(any_char + "*")
         elif ch == "?":
@@ -17,6 +34,7 @@ def segment_regex(glob: str, any_char: str) -> str:
             body = glob[i + 1 : close]
             invert = body[0] in "!^"
             body = body[1:] if invert else body
+            check_ranges(body)
             for special in "\\[]&^":
                 body = body.replace(special, "\\" + special)
             out.append(f"[{'^' if invert else ''}{body}]")
@@ -36,6 +54,7 @@ def rule_regex(line: str) -> tuple[str, bool] | None:
     The file-level rules are git's: ``#`` comments, ``!`` keeps, a slash at the
     start or inside anchors the rule to the root, a slash at the end means
     folders only, ``**`` spans folders. A matching folder covers all below it.
+    A rule that cannot be read raises ``ValueError``.
     """
     rule = line.rstrip("\r\n")
     while rule.endswith(" ") and not rule.endswith("\\ "):

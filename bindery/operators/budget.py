@@ -10,7 +10,11 @@ from bindery.options import Options
 
 
 def running_budget(stats: DataFrame, order: list[str], options: Options) -> DataFrame:
-    """Tokens so far, cost, percent of the hard limit and status, in run order."""
+    """Tokens so far, cost, percent of the hard limit and status, in run order.
+
+    ``stats`` has a row for every source, those without tokens too: progress
+    counts sources.
+    """
     keys = stats.select(*dict.fromkeys(["bundle", *order, "token_count"]))
     numbered = number_rows(keys, [], order, ["token_count"])
     running = F.col("token_count_before") + F.col("token_count")

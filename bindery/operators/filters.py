@@ -14,6 +14,9 @@ IGNORED = "matched .gitignore/.gptignore"
 BINARY = "binary file"
 SENSITIVE = "excluded by Safe Mode"
 CRITERIA = "filtered by size/date criteria"
+# Reasons of our own: what went wrong on the way to the text.
+UNLISTED = "folder could not be listed"
+UNREADABLE = "could not be read"
 
 
 def wanted_extension(path: Column, listed: str) -> Column:
@@ -77,10 +80,15 @@ def late_reason(options: Options) -> Column:
 def classify(files: DataFrame, options: Options) -> DataFrame:
     """Add ``skip_reason``, null for kept files; the first hit wins.
 
-    Files of other extensions are left out silently. ``files`` has ``content``
-    or ``text``, and ``ignored`` when rules were matched.
+    Files of other extensions are left out silently; folders that could not be
+    listed stay as rows with that reason. ``files`` has ``content`` or ``text``,
+    and ``ignored`` when rules were matched. A file that could not be read is
+    named so where its bytes were asked for to tell text from binary.
     """
-    listed = files.filter(wanted_extension(F.col("path"), options.extensions))
+    wanted = wanted_extension(F.col("path"), options.extensions)
+    if "list_error" in files.columns:
+        wanted = wanted | F.col("list_error").isNotNull()
+    listed = files.filter(wanted)
     reason = late_reason(options)
     if options.detect_binary:
         binary = (
@@ -89,13 +97,17 @@ def classify(files: DataFrame, options: Options) -> DataFrame:
             else tx.text_is_binary(F.col("text"))
         )
         reason = F.when(binary, BINARY).otherwise(reason)
+        if "content" in files.columns and "read_error" in files.columns:
+            reason = F.when(F.col("read_error").isNotNull(), UNREADABLE).otherwise(reason)
     early = early_reason(options, files.columns)
+    if "list_error" in files.columns:
+        early = F.when(F.col("list_error").isNotNull(), UNLISTED).otherwise(early)
     return listed.withColumn("skip_reason", F.coalesce(early, reason))
 
 
 def kept(classified: DataFrame) -> DataFrame:
     return classified.filter(F.col("skip_reason").isNull()).drop(
-        "skip_reason", "ignored", "include_archive"
+        "skip_reason", "ignored", "include_archive", "list_error"
     )
 
 
@@ -115,20 +127,36 @@ def skip_counts(classified: DataFrame) -> DataFrame:
 
 
 def first_skips(classified: DataFrame, k: int = 5) -> DataFrame:
-    """The first ``k`` skips of a bundle in path order and how many more there are.
+    """The first ``k`` lines of a bundle's skip list and how many more there are.
 
-    The rank filter lets Spark keep ``k`` rows per bundle before the shuffle. The
-    skipped paths are kept once, so the tests do not run again for the count.
+    Skips are listed in path order, but for size and date: these are one line
+    with their number, at the end. The rank filter lets Spark keep ``k`` rows per
+    bundle before the shuffle. The skipped paths are kept once, so the tests do
+    not run again for the count.
     """
     rows = durable(skipped(classified))
     order = Window.partitionBy("bundle").orderBy(paths.components(F.col("rel_path")))
-    top = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    counts = rows.groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
-    return top.join(counts, "bundle").select(
+    single = rows.filter(F.col("reason") != CRITERIA)
+    top = single.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    grouped = F.col("reason") == CRITERIA
+    counts = rows.groupBy("bundle").agg(
+        F.count_if(~grouped).alias("singles"), F.count_if(grouped).alias("criteria")
+    )
+    lines = top.select(
+        "bundle",
+        "rank",
+        F.concat(paths.file_name(F.col("rel_path")), F.lit(" ("), F.col("reason"), F.lit(")")).alias("line"),
+    ).unionByName(
+        counts.filter((F.col("criteria") > 0) & (F.col("singles") < k)).select(
+            "bundle",
+            (F.col("singles") + 1).cast("int").alias("rank"),
+            F.concat("criteria", F.lit(f" file(s) {CRITERIA}")).alias("line"),
+        )
+    )
+    listed = F.col("singles") + (F.col("criteria") > 0).cast("int")
+    return lines.join(counts, "bundle").select(
         "bundle",
         F.col("rank").cast("bigint").alias("rank"),
-        F.concat(
-            paths.file_name(F.col("rel_path")), F.lit(" ("), F.col("reason"), F.lit(")")
-        ).alias("line"),
-        F.greatest(F.col("n") - k, F.lit(0)).cast("bigint").alias("more"),
+        "line",
+        F.greatest(listed - k, F.lit(0)).cast("bigint").alias("more"),
     )

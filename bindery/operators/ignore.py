@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType
 
 from bindery.functions.wildcards import rule_regex
 from bindery.operators.ordering import skew_safe_lookup
@@ -20,28 +21,49 @@ def ignored_by(rel_path: Column, lines: Iterable[str]) -> Column:
     return F.coalesce(*branches, F.lit(False))
 
 
+def _parsed(line: str) -> tuple[str | None, bool | None, bool]:
+    try:
+        rule = rule_regex(line)
+    except ValueError:
+        return None, None, True
+    return (*(rule or (None, None)), False)
+
+
 def _compile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rules = batch["pattern"].map(rule_regex)
-        batch = batch.assign(
-            regex=rules.map(lambda r: r and r[0]), negated=rules.map(lambda r: r and r[1])
+        parsed = pd.DataFrame(
+            batch["pattern"].map(_parsed).tolist(), columns=["regex", "negated", "bad"], index=batch.index
         )
-        yield batch[rules.notna()][["bundle", "ord", "regex", "negated"]]
+        rows = pd.concat([batch[["bundle", "ord"]], parsed], axis=1)
+        yield rows[parsed["regex"].notna() | parsed["bad"]]
 
 
 def compile_rules(rules: DataFrame) -> DataFrame:
     """Rule lines ``(bundle, ord, pattern)`` to one ordered array per bundle.
 
-    The array is as long as one folder's ignore file.
+    The array is as long as one folder's ignore file. A bundle with a rule that
+    cannot be read has no rules: ``usable_lines`` finds such files beforehand.
     """
     parsed = rules.select("bundle", "ord", "pattern").mapInPandas(
-        _compile, "bundle string, ord int, regex string, negated boolean"
+        _compile, "bundle string, ord int, regex string, negated boolean, bad boolean"
     )
-    return parsed.groupBy("bundle").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "regex", "negated"))).alias("rules")
+    return (
+        parsed.groupBy("bundle")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("ord", "regex", "negated"))).alias("rules"),
+            F.bool_or("bad").alias("bad"),
+        )
+        .filter(~F.col("bad"))
+        .drop("bad")
     )
 
 
+@F.pandas_udf(BooleanType())
+def usable_lines(files: pd.Series) -> pd.Series:
+    """Whether every line of an ignore file can be read as a rule."""
+    return files.map(lambda lines: not any(_parsed(line)[2] for line in lines))
+
+
 def mark_ignored(files: DataFrame, rules: DataFrame, key: Sequence[str] = ("rel_path",)) -> DataFrame:
     """Add ``ignored`` to files, each tested against the rules of its own bundle."""
     weights = files.groupBy("bundle").agg(F.count(F.lit(1)).alias("_n"))

@@ -267,12 +267,22 @@ def number_sections(sections: DataFrame) -> DataFrame:
     )
 
 
-def all_bundles(sections: DataFrame, output_format: str = "standard") -> DataFrame:
-    """Every bundle one after the other, a gap of two newlines after each."""
+def all_bundles(
+    sections: DataFrame, output_format: str = "standard", sources: DataFrame | None = None
+) -> DataFrame:
+    """Every bundle one after the other, a gap of two newlines after each.
+
+    ``sources`` (bundle, source_ord) gives the order; without it names do.
+    """
     gap = "" if output_format == "xml" else "\n"
     gaps = _rows(sections.select("bundle").distinct(), GAP, F.lit(gap))
     rows = sections.unionByName(gaps)
-    numbered = number_rows(rows.select("bundle", "part", "key"), [], ["bundle", "part", "key"])
+    order = ["bundle", "part", "key"]
+    keys = rows.select(*order)
+    if sources is not None:
+        keys = keys.join(sources.select("bundle", "source_ord"), "bundle")
+        order = ["source_ord", *order]
+    numbered = number_rows(keys, [], order)
     return rows.join(numbered, ["bundle", "part", "key"]).select(
         F.col("row_no").alias("position"), "bundle", "section"
     )

@@ -55,6 +55,8 @@ def _parent(key: str) -> Column:
 def tree_lines(files: DataFrame) -> DataFrame:
     """``(bundle, key, line)``; ordering by key gives the printed tree.
 
+    The first line is the folder's own name, ``top``, where files have it.
+
     A node is last when it is the greatest of its folder, which a partial
     aggregate finds before the shuffle. The indent of a folder is made from
     the last flags of its own ancestors, and looked up by its children. Nodes
@@ -101,9 +103,10 @@ def tree_lines(files: DataFrame) -> DataFrame:
         F.substring(F.element_at("key", -1), 2, 1 << 30),
         F.when(F.col("is_folder"), "/").otherwise(""),
     )
-    roots = files.select("bundle").distinct()
+    top = F.col("top") if "top" in files.columns else F.col("bundle")
+    roots = files.select("bundle", top.alias("top")).distinct()
     return roots.select(
         "bundle",
         F.array().cast("array<string>").alias("key"),
-        F.concat("bundle", F.lit("/")).alias("line"),
+        F.concat("top", F.lit("/")).alias("line"),
     ).unionByName(named.select("bundle", "key", line.alias("line")))

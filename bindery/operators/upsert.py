@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], merge: bool = True) -> DataFrame:
-    """Incoming rows win on equal keys; without ``merge`` they replace the table.
+    """Incoming rows replace all old rows of their keys; without ``merge`` the whole table.
 
-    Keys are unique on each side. A row is taken whole from one side, so a
-    null in an incoming row is kept.
+    A key may have several rows, such as the settings of one profile: those the
+    incoming side lacks go as well. A null in an incoming row is kept.
     """
     if not merge:
         return new.select(*old.columns)
-    keys = list(keys)
-    values = [c for c in old.columns if c not in keys]
-    before = old.select(*keys, F.struct(*values).alias("_old"))
-    after = new.select(*keys, F.struct(*values).alias("_new"))
-    row = F.coalesce("_new", "_old")
-    joined = before.join(after, keys, "full_outer")
-    return joined.select(*keys, *[row[v].alias(v) for v in values]).select(*old.columns)
+    incoming = new.select(*keys).distinct()
+    return old.join(incoming, list(keys), "left_anti").select(*old.columns).unionByName(new.select(*old.columns))

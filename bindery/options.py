@@ -53,13 +53,21 @@ def parse_extensions(listed: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Source:
-    """One folder to read and the bundle it becomes."""
+    """One folder to read and the bundle it becomes.
+
+    ``bundle`` names the output; paths inside it start with the folder's own name.
+    A run takes its sources in the order they are listed.
+    """
 
     root: str
     bundle: str
     exclude_subfolders: bool = False
     include_archive: bool = False
 
+    @property
+    def top(self) -> str:
+        return self.root.rstrip("/").rsplit("/", 1)[-1] or self.bundle
+
 
 @dataclass(frozen=True)
 class Options:
@@ -86,4 +94,3 @@ class Options:
     soft_limit: int = SOFT_LIMIT
     hard_limit: int = HARD_LIMIT
     sensitive_patterns: tuple[str, ...] = field(default=SENSITIVE_PATTERNS)
-    max_sources: int | None = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bindery.options import PROMPT_TEMPLATES
+
 RULE = "=" * 80
 STAMP = "2024-06-01 12:00:00"
 NL = "chr(10)"
@@ -49,7 +51,7 @@ def files(planted: str = "''") -> str:
   SELECT *, regexp_extract(rel_path, '[.][^./]+$') AS ext, strlen(text) AS length FROM (
     SELECT doc_id, source AS bundle, lang, text || {planted} AS text,
       TIMESTAMP '2024-01-01' + to_days((doc_id % 365)::INT) AS mtime,
-      lang || '/' || CASE WHEN doc_id % 11 = 0 THEN 'archive/' ELSE '' END
+      coalesce(lang, 'none') || '/' || CASE WHEN doc_id % 11 = 0 THEN 'archive/' ELSE '' END
         || CASE WHEN doc_id % 13 = 0 THEN 'd' || doc_id || '/tokens.txt'
            ELSE 'd' || doc_id
              || ['.txt', '.md', '.py', '.js', '.json', '.csv', '.key', '.log'][(doc_id % 8 + 1)::INT] END
@@ -348,24 +350,17 @@ SYMBOLS = " UNION ALL ".join(
     for o, kind, parent, name, sig, ret, doc, where in SYMBOL_ROWS
 )
 
-STORE_SIDES = """old AS (SELECT 'profile-' || c_custkey AS name, 'segment' AS key, c_mktsegment AS value FROM customer),
-new AS (SELECT 'profile-' || p_partkey * 2 AS name, 'segment' AS key, p_type AS value FROM part)"""
-
-TEMPLATES = {
-    "en": ("Code Review", [
-        "You are a senior software engineer. Review this code for:", "- Code quality and best practices",
-        "- Potential bugs", "- Performance issues", "- Security vulnerabilities"]),
-    "de": ("Documentation", [
-        "You are a technical writer. Generate comprehensive documentation for this codebase including:",
-        "- Overview", "- Architecture", "- API documentation", "- Usage examples"]),
-    "fr": ("Refactoring", [
-        "You are an expert in code refactoring. Analyze this code and suggest improvements for:",
-        "- Code structure", "- Design patterns", "- Maintainability", "- Testability"]),
-}
-TEMPLATE_NAME = "CASE lang " + " ".join(
-    f"WHEN '{k}' THEN '{name}'" for k, (name, _) in TEMPLATES.items()) + " ELSE 'none' END"
+STORE_SIDES = """old AS (
+  SELECT 'profile-' || c_custkey AS name, 'segment' AS key, c_mktsegment AS value FROM customer
+  UNION ALL SELECT 'profile-' || c_custkey, 'nation', c_nationkey::VARCHAR FROM customer),
+new AS (
+  SELECT 'profile-' || p_partkey * 2 AS name, 'segment' AS key, p_type AS value FROM part
+  UNION ALL SELECT 'profile-' || p_partkey * 2, 'size', p_size::VARCHAR FROM part WHERE p_partkey % 3 = 0)"""
+
+TEMPLATES = {"en": "Code Review", "de": "Documentation", "fr": "Refactoring"}
+TEMPLATE_NAME = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{name}'" for k, name in TEMPLATES.items()) + " ELSE 'none' END"
 TEMPLATE_BODY = "CASE lang " + " ".join(
-    f"WHEN '{k}' THEN {lines(*[repr(x) for x in body])}" for k, (_, body) in TEMPLATES.items()
+    f"WHEN '{k}' THEN {lines(*[repr(x) for x in PROMPT_TEMPLATES[name].split(chr(10))])}" for k, name in TEMPLATES.items()
 ) + " ELSE 'own prompt for ' || count(*) END"
 
 CHUNKED = f"""{XML}, sized AS (
@@ -387,19 +382,32 @@ PAGES = r"""pages_as_files AS (SELECT DISTINCT bundle, rel_path FROM (
     rtrim(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), '/') AS rel_path FROM pages)
   WHERE rel_path <> '')"""
 
-ORACLES: dict[str, str] = {
-    "manifest": f"""{TEXTS}, classified AS (SELECT * FROM files
+SELECTIVE_TEXTS = TEXTS.replace(f"AND NOT {SENSITIVE})", f"AND NOT {SENSITIVE} AND length / 1024 >= 24)")
+
+
+def manifest(texts: str, dropped: str) -> str:
+    return f"""{texts}, classified AS (SELECT * FROM files
       WHERE ext IN ('.txt', '.py', '.md', '.json', '.xml', '.csv')),
-    skips AS (SELECT bundle, count(*) AS n FROM classified WHERE {ARCHIVED} OR {SENSITIVE} GROUP BY 1),
+    skips AS (SELECT bundle, count(*) AS n FROM classified WHERE {dropped} GROUP BY 1),
     r AS (SELECT bundle, text AS t0, {swap_emails("text")} AS t1, {swap_keys(swap_emails("text"))} AS t2,
       {swap_passwords(swap_keys(swap_emails("text")))} AS t3 FROM kept),
     messages AS (SELECT bundle, sum((t1 <> t0)::INT + (t3 <> t2)::INT
       + regexp_matches(t3, {SECRET}, 'i')::INT
       + {" + ".join(f"regexp_matches(t1, {p})::INT" for p, _ in API_KEYS)})::BIGINT AS n FROM r GROUP BY 1)
-    SELECT bundle, total_files, character_count, token_count,
-      round(token_count / 1000000 * 2.5, 8) AS cost_usd, messages.n AS redaction_messages,
-      coalesce(skips.n, 0) AS skipped_files
-    FROM stats JOIN messages USING (bundle) LEFT JOIN skips USING (bundle)""",
+    SELECT bundle, coalesce(total_files, 0) AS total_files, coalesce(character_count, 0) AS character_count,
+      coalesce(token_count, 0) AS token_count, coalesce(round(token_count / 1000000 * 2.5, 8), 0) AS cost_usd,
+      coalesce(messages.n, 0) AS redaction_messages, coalesce(skips.n, 0) AS skipped_files,
+      0::BIGINT AS read_errors, CASE WHEN total_files > 0 THEN 'written' ELSE 'no matching files' END AS status
+    FROM (SELECT DISTINCT bundle FROM classified) LEFT JOIN stats USING (bundle)
+      LEFT JOIN messages USING (bundle) LEFT JOIN skips USING (bundle)"""
+
+
+#: The run order of the bundles, not their name order.
+SOURCE_ORD = "coalesce(TRY_CAST(regexp_extract(bundle, '[0-9]+$') AS INT), 0) * 7 % 20"
+
+ORACLES: dict[str, str] = {
+    "manifest": manifest(TEXTS, f"{ARCHIVED} OR {SENSITIVE}"),
+    "manifest_every_source": manifest(SELECTIVE_TEXTS, f"{ARCHIVED} OR {SENSITIVE} OR length / 1024 < 24"),
     "scan_select_ext": f"""WITH {files()} SELECT bundle, rel_path, bundle || '/' || rel_path AS display_path,
       ext, length FROM files WHERE ext IN ('.txt', '.py', '.md', '.json')""",
     "filter_archive": kept(f"NOT {ARCHIVED}"),
@@ -411,11 +419,17 @@ ORACLES: dict[str, str] = {
       SELECT bundle, rel_path, length FROM files WHERE NOT (doc_id % 3 = 0 AND length <= 1024)""",
     "skip_reasons": f"""{CLASSIFIED} SELECT bundle, reason, count(*) AS n FROM classified
       WHERE reason IS NOT NULL GROUP BY ALL""",
-    "skip_topk": f"""{CLASSIFIED}, ranked AS (SELECT bundle, rel_path, reason,
-        row_number() OVER (PARTITION BY bundle ORDER BY {PARTS}) AS rank,
-        count(*) OVER (PARTITION BY bundle) AS n FROM classified WHERE reason IS NOT NULL)
-      SELECT bundle, rank, regexp_extract(rel_path, '[^/]+$') || ' (' || reason || ')' AS line,
-        greatest(n - 5, 0) AS more FROM ranked WHERE rank <= 5""",
+    "skip_topk": f"""{CLASSIFIED}, counts AS (SELECT bundle,
+        count(*) FILTER (reason <> 'filtered by size/date criteria') AS singles,
+        count(*) FILTER (reason = 'filtered by size/date criteria') AS criteria
+      FROM classified WHERE reason IS NOT NULL GROUP BY 1),
+      listed AS (SELECT bundle, row_number() OVER (PARTITION BY bundle ORDER BY {PARTS}) AS rank,
+          regexp_extract(rel_path, '[^/]+$') || ' (' || reason || ')' AS line
+        FROM classified WHERE reason <> 'filtered by size/date criteria'
+        UNION ALL SELECT bundle, singles + 1, criteria || ' file(s) filtered by size/date criteria'
+        FROM counts WHERE criteria > 0)
+      SELECT bundle, rank, line, greatest(singles + (criteria > 0)::INT - 5, 0) AS more
+      FROM listed JOIN counts USING (bundle) WHERE rank <= 5""",
     "ignore_rules": f"WITH {files()} SELECT bundle, rel_path, {IGNORED_CASES} AS ignored FROM files",
     "ignore_rules_by_bundle": f"""WITH {files()}, n AS (
         SELECT bundle, rel_path, regexp_extract(bundle, '[0-9]+$')::INT AS b FROM files)
@@ -438,8 +452,8 @@ ORACLES: dict[str, str] = {
         ('claude-3.5-sonnet', 3.0::DOUBLE), ('claude-3-opus', 15.0::DOUBLE),
         ('unknown-model', 2.5::DOUBLE)) AS prices(model, usd)""",
     "token_budget_running": f"""{PER_BUNDLE}, running AS (SELECT *,
-        sum(tokens) OVER (ORDER BY bundle)::BIGINT AS running_tokens,
-        row_number() OVER (ORDER BY bundle) || '/' || count(*) OVER () AS progress FROM per_bundle)
+        sum(tokens) OVER (ORDER BY {SOURCE_ORD})::BIGINT AS running_tokens,
+        row_number() OVER (ORDER BY {SOURCE_ORD}) || '/' || count(*) OVER () AS progress FROM per_bundle)
       SELECT bundle, progress, tokens AS token_count, running_tokens,
         round(running_tokens / 1000000 * 2.5, 8) AS running_cost,
         round(least(100.0::DOUBLE, running_tokens / 128000 * 100), 4) AS budget_percent,
@@ -466,12 +480,17 @@ ORACLES: dict[str, str] = {
     "prompt_prefix": _prompt_sql(),
     "prompt_templates": f"""SELECT source || '/' || lang AS bundle, {TEMPLATE_NAME} AS template,
         {TEMPLATE_BODY} AS prompt FROM documents GROUP BY source, lang""",
-    "bundle_text": f"""{TEXTS} SELECT bundle, 0::BIGINT AS chunk, length(t) AS chars, md5(t) AS text_md5
-      FROM texts""",
+    "bundle_text": f"""{STANDARD}, sized AS (
+        SELECT *, sum(length(section) + 1) OVER (PARTITION BY bundle ORDER BY part, key) - length(section) - 1 AS before
+        FROM sections),
+      chunks AS (SELECT bundle, (before // 16777216)::BIGINT AS chunk,
+        string_agg(section || {NL}, '' ORDER BY part, key) AS t FROM sized GROUP BY ALL)
+      SELECT bundle, chunk, length(t) AS chars, md5(t) AS text_md5 FROM chunks""",
     "bundle_text_chunks": CHUNKED,
     "all_bundles": f"""{MARKDOWN}, gapped AS (SELECT * FROM sections
         UNION ALL SELECT bundle, 5, {EMPTY}, {NL} FROM counts)
-      SELECT row_number() OVER (ORDER BY bundle, part, key) AS position, bundle, section FROM gapped""",
+      SELECT row_number() OVER (ORDER BY {SOURCE_ORD}, bundle, part, key) AS position, bundle, section
+      FROM gapped""",
     "bundle_stats": f"{TEXTS} SELECT * FROM stats",
     "file_type_histogram": f"""WITH {files()} SELECT bundle, ext, count(*) AS n, sum(length)::BIGINT AS bytes
       FROM files GROUP BY ALL""",
@@ -485,16 +504,21 @@ ORACLES: dict[str, str] = {
     "outline_reduction": f"""{OUTLINED}, sums AS (SELECT bundle, sum(length(source))::BIGINT AS old_chars,
         sum(length(t))::BIGINT AS new_chars FROM outlined GROUP BY 1)
       SELECT *, round((1 - new_chars / old_chars) * 100, 1) AS reduction_pct FROM sums""",
-    "upsert_merge": f"""WITH {STORE_SIDES} SELECT coalesce(n.name, o.name) AS name,
-        coalesce(n.key, o.key) AS key, CASE WHEN n.name IS NOT NULL THEN n.value ELSE o.value END AS value
-      FROM old o FULL JOIN new n ON o.name = n.name AND o.key = n.key""",
+    "upsert_merge": f"""WITH {STORE_SIDES} SELECT * FROM old WHERE name NOT IN (SELECT name FROM new)
+      UNION ALL SELECT * FROM new""",
     "upsert_replace": f"WITH {STORE_SIDES} SELECT * FROM new",
     "store_roundtrip": f"""WITH {STORE_SIDES} SELECT * FROM old UNION ALL
       SELECT p_type, 'template', 'Parts:' || {NL} || '- ' || count(*) FROM part GROUP BY p_type""",
-    "read_files_decode": f"""SELECT source AS bundle, lang, sum(strlen(text) + 17)::BIGINT AS bytes,
-        sum(length(text) + 10)::BIGINT AS chars,
-        sum(length(text) - length(replace(text, {NL}, '')) + 2)::BIGINT AS newlines
-      FROM documents GROUP BY ALL""",
-    "sink_roundtrip": f"""{TEXTS} SELECT bundle || '_20240601_120000.txt' AS bundle_file,
-        length(t) AS chars, (length(t) - length(replace(t, {NL}, ''))) AS newlines FROM texts""",
+    "read_files_decode": f"""WITH written AS (
+        SELECT coalesce(lang, 'none') AS lang, (strlen(coalesce(text, '')) + 17)::BIGINT AS length,
+          coalesce(text, '') || ' café' || {NL} || 'end' || {NL} AS t FROM documents)
+      SELECT bundle, lang, length, CASE WHEN length / 1024 > 4 THEN 'filtered by size/date criteria' END AS reason,
+        CASE WHEN length / 1024 <= 4 THEN md5(t) END AS text_md5
+      FROM written, (VALUES ('all'), ('top')) AS sources(bundle) WHERE bundle = 'all' OR lang = 'en'""",
+    "sink_roundtrip": f"""{TEXTS}, numbered AS (
+        SELECT bundle, unnest(string_split(t, {NL})) AS line, unnest(range(1, len(string_split(t, {NL})) + 1)) AS i,
+          len(string_split(t, {NL})) AS n FROM texts)
+      SELECT bundle || '_20240601_120000.txt' AS bundle_file, sum(length(line) + 1)::BIGINT AS chars,
+        count(*) AS newlines, sum(('0x' || substr(md5(line), 1, 7))::BIGINT * i % 1000003)::BIGINT AS line_order
+      FROM numbered WHERE i < n GROUP BY bundle""",
 }

@@ -21,7 +21,7 @@ from bindery.operators import (
 )
 from bindery.options import PRICES_PER_MILLION, PROMPT_TEMPLATES, Options, Source
 from bindery.plans import runs
-from bindery.session import scratch_path, spread
+from bindery.session import scratch_path
 from bindery.sources import folders, sinks
 from bindery.sources.tables import as_files
 
@@ -45,7 +45,7 @@ def documents(
     spark: SparkSession, sf_dir: str, planted: Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """``documents`` as files; ``planted`` appends a text made from the id."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     doc_id = F.col("doc_id")
     if planted is not None:
         docs = docs.withColumn("text", F.concat("text", planted(doc_id)))
@@ -54,7 +54,7 @@ def documents(
         F.concat(F.lit("d"), doc_id, ext)
     )
     folder = F.when(doc_id % 11 == 0, "archive/").otherwise("")
-    rel_path = F.concat("lang", F.lit("/"), folder, leaf)
+    rel_path = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), folder, leaf)
     day = F.date_add(F.lit("2024-01-01").cast("date"), (doc_id % 365).cast("int"))
     return as_files(docs, F.col("source"), rel_path, F.col("text"), day.cast("timestamp"), ROOT)
 
@@ -120,6 +120,12 @@ def plant_both_lines(doc_id: Column) -> Column:
     return F.concat(plant_hash_lines(doc_id), plant_slash_lines(doc_id))
 
 
+def source_ord() -> Column:
+    """A run order of the bundles that is not their name order."""
+    number = F.coalesce(F.regexp_extract("bundle", r"([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return number * 7 % 20
+
+
 def prepared_files(spark: SparkSession, sf_dir: str, options: Options = RUN) -> DataFrame:
     """Kept, redacted documents, from one pass over the text."""
     classified = filters.classify(documents(spark, sf_dir), options)
@@ -144,7 +150,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundle = F.replace("p_brand", lit("#"), lit("_"))
     rel_path = F.concat(lit("src/p"), key, lit(".py"))
     day = lit("2024-01-01").cast("timestamp")
-    return as_files(spread(part), bundle, rel_path, source, day, ROOT)
+    return as_files(part, bundle, rel_path, source, day, ROOT)
 
 
 def _hashed(files: DataFrame) -> DataFrame:
@@ -302,7 +308,7 @@ def token_budget_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_bundle = files.groupBy("bundle").agg(
         F.sum(tokens.estimate(F.length("text"))).alias("token_count")
     )
-    return budget.running_budget(per_bundle, ["bundle"], RUN)
+    return budget.running_budget(per_bundle.withColumn("source_ord", source_ord()), ["source_ord"], RUN)
 
 
 # Minify
@@ -434,7 +440,8 @@ def bundle_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = Options(as_of=RUN.as_of, output_format="markdown")
     rows = sections.render(prepared_files(spark, sf_dir, options), options)
-    return sections.all_bundles(rows, "markdown")
+    names = table(spark, sf_dir, "documents").select(F.col("source").alias("bundle")).distinct()
+    return sections.all_bundles(rows, "markdown", names.withColumn("source_ord", source_ord()))
 
 
 # Statistics and reports
@@ -465,6 +472,14 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.Run(filters.classify(documents(spark, sf_dir), RUN), RUN).manifest
 
 
+SELECTIVE = Options(as_of=RUN.as_of, min_size_kb=24)
+
+
+def manifest_every_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """So high a size bound that some sources keep nothing: they are reported too."""
+    return runs.Run(filters.classify(documents(spark, sf_dir), SELECTIVE), SELECTIVE).manifest
+
+
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report_lines(_stats(spark, sf_dir), RUN)
 
@@ -490,26 +505,40 @@ def outline_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stored settings from ``customer``, incoming ones from ``part`` at even keys."""
-    old = table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("profile-"), "c_custkey").alias("name"),
-        F.lit("segment").alias("key"),
-        F.col("c_mktsegment").alias("value"),
+    """Stored settings from ``customer``, incoming ones from ``part`` at even keys.
+
+    Stored profiles have a segment and a nation; incoming ones a segment, and
+    every third a size, but no nation.
+    """
+
+    def settings(frame: DataFrame, name: Column, *pairs: Column) -> DataFrame:
+        rows = frame.select(F.concat(F.lit("profile-"), name).alias("name"), F.explode(F.array(*pairs)).alias("s"))
+        return rows.select("name", "s.key", "s.value").filter(F.col("value").isNotNull())
+
+    def pair(key: str, value: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+
+    old = settings(
+        table(spark, sf_dir, "customer"),
+        F.col("c_custkey"),
+        pair("segment", F.col("c_mktsegment")),
+        pair("nation", F.col("c_nationkey")),
     )
-    new = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("profile-"), F.col("p_partkey") * 2).alias("name"),
-        F.lit("segment").alias("key"),
-        F.col("p_type").alias("value"),
+    new = settings(
+        table(spark, sf_dir, "part"),
+        F.col("p_partkey") * 2,
+        pair("segment", F.col("p_type")),
+        pair("size", F.when(F.col("p_partkey") % 3 == 0, F.col("p_size"))),
     )
     return old, new
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsert.upsert(*_store_sides(spark, sf_dir), ["name", "key"])
+    return upsert.upsert(*_store_sides(spark, sf_dir), ["name"])
 
 
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsert.upsert(*_store_sides(spark, sf_dir), ["name", "key"], merge=False)
+    return upsert.upsert(*_store_sides(spark, sf_dir), ["name"], merge=False)
 
 
 def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -527,49 +556,71 @@ def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SMALL_FILES = Options(extensions="txt", max_size_kb=4)
+
+
 def read_files_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the documents as files with bad bytes and DOS line ends, read them back."""
+    """Write each document as a file with bad bytes and DOS line ends, and read two sources back.
+
+    One source is the whole tree, the other the files of one folder; larger
+    files are skipped with their reason.
+    """
     docs = table(spark, sf_dir, "documents")
     bad = F.lit(bytearray(b"\xff\xc3 caf\xc3\xa9\xe2\x82\r\nend\r"))
     path = scratch_path(spark, "files")
     (
         docs.select(
-            "source", "lang", F.concat(F.encode("text", "UTF-8"), bad).cast("string").alias("value")
+            F.coalesce("lang", F.lit("none")).alias("lang"),
+            F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), bad).cast("string").alias("value"),
         )
-        .write.partitionBy("source", "lang")
+        .write.partitionBy("lang")
+        .option("maxRecordsPerFile", 1)
         .text(path)
     )
-    files = folders.read_files(spark, [Source(path, "files")])
-    return (
-        files.filter(F.col("ext") == ".txt")
-        .groupBy(
-            F.regexp_extract("rel_path", "source=([^/]+)/", 1).alias("bundle"),
-            F.regexp_extract("rel_path", "lang=([^/]+)/", 1).alias("lang"),
-        )
-        .agg(
-            F.sum("length").alias("bytes"),
-            F.sum(F.length("text").cast("bigint")).alias("chars"),
-            F.sum(tx.newlines(F.col("text"))).alias("newlines"),
-        )
+    sources = [Source(path, "all"), Source(f"{path}/lang=en", "top", exclude_subfolders=True)]
+    files = runs.collect(spark, sources, SMALL_FILES)
+    return files.select(
+        "bundle",
+        F.regexp_extract("path", "/lang=([^/]+)/", 1).alias("lang"),
+        "length",
+        F.col("skip_reason").alias("reason"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
     )
 
 
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the bundles and read the files back."""
+    """Write the bundles and read the files back, line by line in file order.
+
+    ``line_order`` adds up each line's hash times its place, so lines out of
+    order show. A place is the line's own in its part plus the earlier parts' lines.
+    """
     rows = sections.render(prepared_files(spark, sf_dir), RUN)
     path = scratch_path(spark, "bundles")
     sinks.write_bundles(rows, path, RUN)
-    back = spark.read.text(path, wholetext=True)
-    return back.groupBy("bundle_file").agg(
-        F.sum(F.length("value").cast("bigint")).alias("chars"),
-        F.sum(tx.newlines(F.col("value"))).alias("newlines"),
+    name = F.col("_metadata")["file_name"]
+    parts = spark.read.text(path, wholetext=True).select("bundle_file", name.alias("file"), "value")
+    sized = parts.select("bundle_file", "file", tx.newlines(F.col("value")).alias("n"))
+    placed = sections.number_rows(sized, ["bundle_file"], ["file"], ["n"]).select("bundle_file", "file", "n_before")
+    line = F.posexplode(F.split("value", "\n")).alias("at", "line")
+    lines = parts.join(placed, ["bundle_file", "file"]).select(
+        "bundle_file", "n_before", tx.newlines(F.col("value")).alias("n"), line
+    )
+    digest = F.conv(F.substring(F.md5(F.col("line").cast("binary")), 1, 7), 16, 10).cast("bigint")
+    return (
+        lines.filter("at < n")
+        .groupBy("bundle_file")
+        .agg(
+            F.sum(F.length("line").cast("bigint") + 1).alias("chars"),
+            F.count(F.lit(1)).alias("newlines"),
+            F.sum(digest * (F.col("n_before") + F.col("at") + 1) % 1_000_003).alias("line_order"),
+        )
     )
 
 
 QUERIES: dict[str, Query] = {
     name: globals()[name]
     for name in (
-        "manifest", "scan_select_ext", "filter_archive", "filter_safe_mode", "filter_binary",
+        "manifest", "manifest_every_source", "scan_select_ext", "filter_archive", "filter_safe_mode", "filter_binary",
         "filter_size", "filter_mtime", "filter_combined", "skip_reasons", "skip_topk",
         "ignore_rules", "ignore_rules_by_bundle", "redact_names", "redact_emails",
         "redact_api_keys", "redact_passwords", "redact_secrets", "redact_all",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bindery.functions import paths, text as tx, tokens
 from bindery.operators import budget, filters, ignore, minify, outline, redact, sections, stats
+from bindery.operators.ordering import number_rows
 from bindery.options import Options, Source
 from bindery.session import scratch_path
 from bindery.sources import folders, sinks
@@ -19,14 +20,18 @@ def collect(spark: SparkSession, sources: Sequence[Source], options: Options) ->
 
     Path, size and date tests run on the listing. Contents are not read for
     files those tests name first, and only to 1,024 bytes where just the
-    binary test can still change the reason.
+    binary test can still change the reason. A folder that could not be listed
+    stays as a skipped row.
     """
-    listing = folders.list_files(spark, list(sources)[: options.max_sources])
-    files = listing.filter(filters.wanted_extension(F.col("path"), options.extensions))
+    listing = folders.list_files(spark, sources)
+    files = listing.filter(
+        filters.wanted_extension(F.col("path"), options.extensions) | F.col("list_error").isNotNull()
+    )
     if options.respect_ignore:
         files = ignore.mark_ignored(files, folders.ignore_rules(listing))
     want = (
-        F.when(filters.early_reason(options, files.columns).isNotNull(), 0)
+        F.when(F.col("list_error").isNotNull(), 0)
+        .when(filters.early_reason(options, files.columns).isNotNull(), 0)
         .when(
             filters.late_reason(options).isNotNull(),
             folders.HEAD_ONLY if options.detect_binary else 0,
@@ -39,7 +44,7 @@ def collect(spark: SparkSession, sources: Sequence[Source], options: Options) ->
     return classified.withColumn(
         "text", F.when(keep, tx.decode(F.col("content")))
     ).withColumn(
-        "display_path", paths.display_path(F.col("bundle"), F.col("root"), F.col("path"))
+        "display_path", paths.display_path(F.col("top"), F.col("root"), F.col("path"))
     ).drop("content")
 
 
@@ -55,10 +60,32 @@ def prepare(files: DataFrame, options: Options) -> DataFrame:
     return files
 
 
+# How a source ended.
+WRITTEN = "written"
+EMPTY = "no matching files"
+FAILED = "folder could not be listed"
+
+
+def sources_of(classified: DataFrame) -> DataFrame:
+    """(bundle, source_ord) of every source that has a file at all; in name order without a list."""
+    if "source_ord" in classified.columns:
+        return classified.select("bundle", "source_ord").distinct()
+    names = classified.select("bundle").distinct()
+    return number_rows(names, [], ["bundle"]).select("bundle", (F.col("row_no") - 1).cast("int").alias("source_ord"))
+
+
 def manifest(
-    run_stats: DataFrame, options: Options, prepared: DataFrame, classified: DataFrame | None = None
+    run_stats: DataFrame,
+    options: Options,
+    prepared: DataFrame,
+    classified: DataFrame | None = None,
+    sources: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per bundle: files, tokens, cost, redaction messages, skipped files."""
+    """One row per source: files, tokens, cost, redaction messages, skips, read errors, status.
+
+    ``sources`` (bundle, source_ord) lists those to report; one of which nothing
+    was kept has its row too.
+    """
     report = run_stats.select(
         "bundle",
         "total_files",
@@ -66,17 +93,33 @@ def manifest(
         "token_count",
         F.round(tokens.cost(F.col("token_count"), F.lit(options.model)), 8).alias("cost_usd"),
     )
+    counts = ["total_files", "character_count", "token_count", "cost_usd"]
+    if sources is not None:
+        report = sources.select("bundle").join(report, "bundle", "left")
     if "redactions" in prepared.columns:
         found = prepared.groupBy("bundle").agg(
             F.sum(F.size("redactions")).cast("bigint").alias("redaction_messages")
         )
         report = report.join(found, "bundle", "left")
+        counts.append("redaction_messages")
     if classified is not None:
-        skips = filters.skipped(classified).groupBy("bundle").agg(
-            F.count(F.lit(1)).alias("skipped_files")
+        reason = F.col("skip_reason")
+        errors = reason.isin(filters.UNREADABLE, filters.UNLISTED)
+        if "read_error" in classified.columns:
+            errors = errors | (reason.isNull() & F.col("read_error").isNotNull())
+        skips = classified.groupBy("bundle").agg(
+            F.count("skip_reason").alias("skipped_files"),
+            F.count_if(errors).alias("read_errors"),
+            F.bool_or(F.coalesce(reason == filters.UNLISTED, F.lit(False))).alias("_unlisted"),
+        )
+        status = (
+            F.when(F.col("total_files") > 0, WRITTEN)
+            .when(F.col("_unlisted"), FAILED)
+            .otherwise(EMPTY)
         )
-        report = report.join(skips, "bundle", "left").fillna(0, ["skipped_files"])
-    return report
+        report = report.join(skips, "bundle", "left").withColumn("status", status).drop("_unlisted")
+        counts += ["skipped_files", "read_errors"]
+    return report.fillna(0, counts)
 
 
 def report_lines(run_stats: DataFrame, options: Options) -> DataFrame:
@@ -112,13 +155,24 @@ class Run:
     """The results of one run, each planned when first asked for."""
 
     def __init__(
-        self, classified: DataFrame, options: Options, prompts: DataFrame | None = None
+        self,
+        classified: DataFrame,
+        options: Options,
+        prompts: DataFrame | None = None,
+        sources: DataFrame | None = None,
     ) -> None:
+        """``sources`` (bundle, source_ord) is the run's list, as ``folders.source_table`` gives it."""
         self.options = options
         self.prompts = prompts
         self.classified = materialise(classified, options)
+        self._sources = sources
         self.prepared = filters.kept(self.classified)
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        found = sources_of(self.classified) if self._sources is None else self._sources
+        return found.select("bundle", "source_ord")
+
     @cached_property
     def sections(self) -> DataFrame:
         return sections.render(self.prepared, self.options, self.prompts)
@@ -129,11 +183,17 @@ class Run:
 
     @cached_property
     def manifest(self) -> DataFrame:
-        return manifest(self.stats, self.options, self.prepared, self.classified)
+        return manifest(self.stats, self.options, self.prepared, self.classified, self.sources)
 
     @cached_property
     def budget(self) -> DataFrame:
-        return budget.running_budget(self.stats, ["bundle"], self.options)
+        every = self.sources.join(self.stats.select("bundle", "token_count"), "bundle", "left")
+        return budget.running_budget(every.fillna(0, ["token_count"]), ["source_ord"], self.options)
+
+    @cached_property
+    def all_bundles(self) -> DataFrame:
+        """One context of all bundles, in the order of the sources."""
+        return sections.all_bundles(self.sections, self.options.output_format, self.sources)
 
     @cached_property
     def totals(self) -> DataFrame:

@@ -3,11 +3,14 @@
 Spark's own file sources leave out names that start with ``_`` or ``.``
 (``__init__.py`` for one) and list on the driver, so folders are listed here:
 one job per level, each task listing some folders, and contents are read only
-for files that earlier tests have not already dropped.
+for files that earlier tests have not already dropped. Nothing is lost without a
+row: a folder that cannot be listed is a row with ``list_error``, a file that
+cannot be read has ``read_error``. Links to folders are not followed.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,19 +18,18 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bindery.functions import paths, text as tx
+from bindery.operators.ignore import usable_lines
 from bindery.options import Source
 from bindery.session import durable
 
 IGNORE_FILES = (".gptignore", ".gitignore")
-LISTING = (
-    "bundle string, root string, recursive boolean, include_archive boolean, "
-    "dir string, name string, is_dir boolean, length bigint, modificationTime timestamp"
-)
+SOURCE = "source_ord int, bundle string, top string, root string, recursive boolean, include_archive boolean, dir string"
+LISTING = f"{SOURCE}, name string, is_dir boolean, length bigint, modificationTime timestamp, list_error string"
 LIST_BATCH = 10_000
 READ_BATCH_BYTES = 32 << 20
-SPLIT_BYTES = 128 << 20
+SPLIT_BYTES = 512 << 20
 WHOLE, HEAD_ONLY = -1, 1024
-MAX_VALUE_BYTES = 2_000_000_000  # a Spark value ends at 2 GiB
+MAX_VALUE_BYTES = 2_000_000_000  # a Spark value ends at 2 GiB: such a file is reported as not readable
 
 
 def _filesystem(root: str) -> tuple[pafs.FileSystem, str]:
@@ -40,30 +42,38 @@ def _join(*parts: str) -> str:
     return "/".join(p for p in parts if p)
 
 
+def _is_link(filesystem: pafs.FileSystem, path: str) -> bool:
+    return isinstance(filesystem, pafs.LocalFileSystem) and os.path.islink(path)
+
+
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The entries of each folder; a folder that cannot be listed has none."""
+    """The entries of each folder; one row with the error for a folder that cannot be listed."""
     opened: dict[str, tuple[pafs.FileSystem, str]] = {}
     for batch in batches:
         for row in batch.itertuples(index=False):
-            filesystem, base = opened.get(row.root) or _filesystem(row.root)
-            opened[row.root] = filesystem, base
+            source = row._asdict()
             try:
+                filesystem, base = opened.get(row.root) or _filesystem(row.root)
+                opened[row.root] = filesystem, base
                 entries = filesystem.get_file_info(pafs.FileSelector(_join(base, row.dir)))
-            except OSError:
+            except (OSError, ValueError) as problem:
+                none = pd.array([None], dtype="Int64")
+                missing = {"name": [""], "is_dir": [False], "length": none, "modificationTime": [pd.NaT]}
+                yield pd.DataFrame({**missing, **source, "list_error": [str(problem)]})
                 continue
+            entries = [
+                e for e in entries if e.type != pafs.FileType.Directory or not _is_link(filesystem, e.path)
+            ]
             for start in range(0, len(entries), LIST_BATCH):
                 part = entries[start : start + LIST_BATCH]
                 yield pd.DataFrame(
                     {
-                        "bundle": row.bundle,
-                        "root": row.root,
-                        "recursive": row.recursive,
-                        "include_archive": row.include_archive,
-                        "dir": row.dir,
                         "name": [e.base_name for e in part],
                         "is_dir": [e.type == pafs.FileType.Directory for e in part],
                         "length": pd.array([e.size for e in part], dtype="Int64"),
                         "modificationTime": [e.mtime for e in part],
+                        **source,
+                        "list_error": None,
                     }
                 )
 
@@ -74,17 +84,24 @@ def _tasks(spark: SparkSession) -> int:
     )
 
 
+def source_table(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
+    """One row per source: its place in the list, bundle, folder name and root."""
+    rows = [
+        (i, s.bundle, s.top, s.root.rstrip("/"), not s.exclude_subfolders, s.include_archive, "")
+        for i, s in enumerate(sources)
+    ]
+    return spark.createDataFrame(rows, SOURCE)
+
+
 def list_files(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
-    """Files below the sources: bundle, root, path, rel_path, ext, length, time.
+    """Files below the sources: source_ord, bundle, top, root, path, rel_path, ext, length, time.
 
-    A bundle comes from one source, so paths are unique within it.
+    A bundle comes from one source, so paths are unique within it. A folder that
+    cannot be listed is a row with its own path and ``list_error``.
     """
     if len({s.bundle for s in sources}) < len(sources):
         raise ValueError("two sources name the same bundle")
-    frontier = spark.createDataFrame(
-        [(s.bundle, s.root.rstrip("/"), not s.exclude_subfolders, s.include_archive, "") for s in sources],
-        "bundle string, root string, recursive boolean, include_archive boolean, dir string",
-    )
+    frontier = source_table(spark, sources)
     levels: DataFrame | None = None
     while not frontier.isEmpty():
         listed = durable(frontier.repartition(_tasks(spark)).mapInPandas(_list, LISTING))
@@ -92,13 +109,15 @@ def list_files(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
         levels = files if levels is None else levels.unionByName(files)
         below = F.concat_ws("/", F.nullif("dir", F.lit("")), "name")
         frontier = listed.filter(F.col("is_dir") & F.col("recursive")).select(
-            "bundle", "root", "recursive", "include_archive", below.alias("dir")
+            "source_ord", "bundle", "top", "root", "recursive", "include_archive", below.alias("dir")
         )
     if levels is None:
         levels = spark.createDataFrame([], LISTING)
-    rel = F.concat_ws("/", F.nullif("dir", F.lit("")), "name")
+    rel = F.concat_ws("/", F.nullif("dir", F.lit("")), F.nullif("name", F.lit("")))
     return levels.select(
+        "source_ord",
         "bundle",
+        "top",
         "root",
         F.concat_ws("/", "root", rel).alias("path"),
         rel.alias("rel_path"),
@@ -106,6 +125,7 @@ def list_files(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
         "length",
         "modificationTime",
         "include_archive",
+        "list_error",
     )
 
 
@@ -140,8 +160,13 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_contents(listing: DataFrame) -> DataFrame:
-    """Add ``content`` and ``read_error``; ``want`` says how many bytes to read."""
+    """Add ``content`` and ``read_error``; ``want`` says how many bytes to read.
+
+    The listing, narrow rows, is kept first: the tests on it run once, not once
+    for the sum of bytes and again for the read.
+    """
     spark = listing.sparkSession
+    listing = durable(listing)
     asked = F.when(F.col("want") == WHOLE, F.col("length")).otherwise(F.col("want"))
     total = listing.agg(F.sum(asked)).first()[0] or 0
     tasks = max(_tasks(spark), -(-total // SPLIT_BYTES))
@@ -155,21 +180,29 @@ def read_contents(listing: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     """Every file with its decoded text; no filter but the folder itself."""
-    read = read_contents(list_files(spark, sources).withColumn("want", F.lit(WHOLE)))
+    listing = list_files(spark, sources).filter(F.col("list_error").isNull())
+    read = read_contents(listing.withColumn("want", F.lit(WHOLE)))
     return read.withColumn("text", tx.decode(F.col("content"))).withColumn(
-        "display_path", paths.display_path(F.col("bundle"), F.col("root"), F.col("path"))
+        "display_path", paths.display_path(F.col("top"), F.col("root"), F.col("path"))
     )
 
 
-def ignore_rules(listing: DataFrame) -> DataFrame:
-    """Rule lines ``(bundle, ord, pattern)`` of each root's first readable ignore file."""
+def ignore_files(listing: DataFrame) -> DataFrame:
+    """The roots' ignore files ``(bundle, rel_path, lines, usable)``; one unread or with a bad rule is not usable."""
     found = (
-        listing.filter(F.col("rel_path").isin(*IGNORE_FILES))
+        listing.filter(F.col("rel_path").isin(*IGNORE_FILES) & F.col("list_error").isNull())
         .withColumn("want", F.lit(WHOLE))
         .transform(read_contents)
-        .filter(F.col("content").isNotNull())
     )
+    lines = F.coalesce(F.split(tx.decode(F.col("content")), "\n"), F.array().cast("array<string>"))
+    return found.select("bundle", "rel_path", "read_error", lines.alias("lines")).select(
+        "bundle", "rel_path", "lines", (F.col("read_error").isNull() & usable_lines("lines")).alias("usable")
+    )
+
+
+def ignore_rules(listing: DataFrame) -> DataFrame:
+    """Rule lines ``(bundle, ord, pattern)`` of each root's first usable ignore file."""
     priority = F.array_position(F.array(*map(F.lit, IGNORE_FILES)), F.col("rel_path"))
-    chosen = found.groupBy("bundle").agg(F.min_by("content", priority).alias("content"))
-    lines = F.split(tx.decode(F.col("content")), "\n")
-    return chosen.select("bundle", F.posexplode(lines).alias("ord", "pattern"))
+    usable = ignore_files(listing).filter("usable")
+    chosen = usable.groupBy("bundle").agg(F.min_by("lines", priority).alias("lines"))
+    return chosen.select("bundle", F.posexplode("lines").alias("ord", "pattern"))

@@ -12,8 +12,10 @@ def as_files(
 ) -> DataFrame:
     """Project a table with one text per row to the files schema.
 
-    ``rel_path`` must be unique within its bundle, as paths of files are.
+    ``rel_path`` must be unique within its bundle, as paths of files are. Rows
+    without a bundle go to the bundle ``none``.
     """
+    bundle = F.coalesce(bundle, F.lit("none"))
     base = F.concat(F.lit(root + "/"), bundle)
     return table.select(
         bundle.alias("bundle"),

@@ -26,6 +26,9 @@ CASES = [
     (["src/gen"], ["src/gen/a.py", "src/gen"]),
     (["d[0-9].py"], ["d1.py", "d2.py"]),
     (["d[!0-9].py"], ["dz.py"]),
+    (["d[]z].py"], ["dz.py"]),
+    (["d[!]z].py"], ["d1.py", "d2.py"]),
+    (["[a"], []),
     (["d?.py"], ["d1.py", "d2.py", "dz.py"]),
     (["q/**/e*"], ["q/w/e/r.c", "q/e.c"]),
     (["*", "!docs/", "!*.log"], sorted({"top.txt"} | set(PATHS) - {
@@ -54,3 +57,14 @@ def test_rules_of_each_bundle(spark):
     assert {(r.bundle, r.rel_path) for r in got} == {
         (f"b{i}", p) for i, (_, hit) in enumerate(CASES) for p in hit
     }
+
+
+def test_a_bad_rule_hurts_its_own_bundle_only(spark):
+    files = spark.createDataFrame([(b, p) for b in "xy" for p in PATHS], "bundle string, rel_path string")
+    rules = spark.createDataFrame(
+        [("x", 0, "*.log"), ("x", 1, "[z-a].txt"), ("y", 0, "*.log")], "bundle string, ord int, pattern string"
+    )
+    got = ignore.mark_ignored(files, rules).filter("ignored").collect()
+    assert {r.bundle for r in got} == {"y"} and len(got) == 4
+    with pytest.raises(ValueError):
+        ignore.ignored_by(F.col("rel_path"), ["[z-a]"])

@@ -1,4 +1,4 @@
-"""Folders to bundles, end to end, on the sample projects."""
+"""Folders to bundles, end to end, on two small folders."""
 
 import json
 import os
@@ -6,36 +6,32 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from bindery.operators import sections, stats, tree, upsert
+from bindery.functions import paths, text as tx
+from bindery.operators import filters, sections, stats, tree, upsert
 from bindery.options import Options, Source
 from bindery.plans import runs
 from bindery.sources import folders, sinks
 
 FILES = {
-    "project1/readme.txt": "# Project 1 README\nThis is a sample project for testing the bundle assembler application.\n"
-    "It contains multiple text files that will be merged together.\n",
-    "project1/main.py": '# Main Python file\ndef hello_world():\n    print("Hello from Project 1!")\n\n'
-    'if __name__ == "__main__":\n    hello_world()\n',
-    "project1/config.json": '{\n    "name": "Project 1",\n    "version": "1.0.0",\n'
-    '    "description": "Sample project configuration"\n}\n',
-    "project1/subfolder/notes.txt": "Notes for subfolder\nThis file is in a subfolder and will only be included"
-    " if subfolders are not excluded.\n",
-    "project1/subfolder/utils.py": "# Utility functions\ndef add(a, b):\n    return a + b\n\n"
-    "def multiply(a, b):\n    return a * b\n",
-    "project2/info.txt": "Project 2 Information\nThis is another sample project for testing.\n",
-    "project2/script.py": '# Script file\nprint("Hello from Project 2!")\n',
-    "project2/data.csv": "name,age,city\nAlice,30,New York\nBob,25,London\nCharlie,35,Paris\n",
-    "project2/docs/manual.md": "# User Manual\n\nThis is a sample markdown file in the docs subfolder.\n\n"
-    "## Features\n- Feature 1\n- Feature 2\n- Feature 3\n",
+    "harbour/tides.txt": "High water at six, low water at noon.\nBoats leave on the ebb.\n",
+    "harbour/quay.py": "BERTHS = 12\n\n\ndef free(taken):\n    return BERTHS - len(taken)\n",
+    "harbour/lights.json": '{"north": "green", "south": "red"}\n',
+    "harbour/sheds/keys.txt": "Shed two is locked, ask at the office.",
+    "harbour/sheds/crates.py": "def volume(w, h, d):\n    return w * h * d\n",
+    "orchard/pears.txt": "Pick before the first frost.\n",
+    "orchard/press.py": "print('juice')\n",
+    "orchard/yield.csv": "row,kilos\n1,40\n2,35\n",
+    "orchard/notes/pruning.md": "# Pruning\n\nCut above a bud.\n",
 }
-ORDER = ["config.json", "main.py", "readme.txt", "subfolder/notes.txt", "subfolder/utils.py"]
-TREE = """project1/
-├── subfolder/
-│   ├── notes.txt
-│   └── utils.py
-├── config.json
-├── main.py
-└── readme.txt"""
+ORDER = ["lights.json", "quay.py", "sheds/crates.py", "sheds/keys.txt", "tides.txt"]
+BYTES = sum(len(FILES["harbour/" + name]) for name in ORDER)
+TREE = """harbour/
+├── sheds/
+│   ├── crates.py
+│   └── keys.txt
+├── lights.json
+├── quay.py
+└── tides.txt"""
 STAMP = "2025-11-23 14:00:00"
 BAR = "=" * 80
 
@@ -65,17 +61,71 @@ def text_of(frame, output_format="standard"):
 
 
 def test_counts_of_the_samples(spark, projects):
-    one, two = str(projects / "project1"), str(projects / "project2")
+    one, two = str(projects / "harbour"), str(projects / "orchard")
     kept, _ = collected(spark, [Source(one, "p1"), Source(one, "top", exclude_subfolders=True), Source(two, "p2")])
     assert [sum(b == name for b, _ in kept) for name in ("p1", "top", "p2")] == [5, 3, 4]
-    limited, _ = collected(spark, [Source(one, "p1"), Source(two, "p2")], max_sources=1)
-    assert {b for b, _ in limited} == {"p1"}
+    many, _ = collected(spark, [Source(one, f"p{i}") for i in range(7)])
+    assert len(many) == 35
 
 
 def test_uri_roots_and_missing_folders(spark, projects):
-    uri = (projects / "project1").as_uri()
-    kept, _ = collected(spark, [Source(uri, "p1"), Source(str(projects / "none"), "none")])
-    assert [p for _, p in kept] == sorted(ORDER)
+    uri = (projects / "harbour").as_uri()
+    sources = [Source(str(projects / "none"), "none"), Source(uri, "p1"), Source("nosuch://x/y", "odd")]
+    rows = runs.collect(spark, sources, Options()).collect()
+    assert sorted(r.rel_path for r in rows if r.skip_reason is None) == sorted(ORDER)
+    assert {r.bundle: r.skip_reason for r in rows if r.skip_reason} == dict.fromkeys(("none", "odd"), filters.UNLISTED)
+
+
+def test_links_to_folders_are_not_followed(spark, tmp_path):
+    root = put(tmp_path / "l", {"a.txt": "x", "d/b.txt": "y"})
+    (root / "d/loop").symlink_to(root)
+    (root / "c.txt").symlink_to(root / "a.txt")
+    kept, _ = collected(spark, [Source(str(root), "b")])
+    assert [p for _, p in kept] == ["a.txt", "c.txt", "d/b.txt"]
+
+
+def test_every_source_is_reported_in_its_order(spark, projects, tmp_path):
+    put(tmp_path / "mixed", {"x.md": "kept", "gone.md": "z"})
+    sources = [
+        Source(str(projects / "orchard"), "zeta"), Source(str(projects / "missing"), "alpha"),
+        Source(str(projects / "harbour"), "mid"), Source(str(tmp_path / "mixed"), "beta"),
+    ]
+    options = Options(extensions="py, md", detect_binary=False)
+    listing = folders.list_files(spark, sources).filter(filters.wanted_extension(F.col("path"), "py, md") | F.col("list_error").isNotNull())
+    (tmp_path / "mixed/gone.md").rename(tmp_path / "mixed/gone.bak")
+    want = F.when(F.col("list_error").isNull(), folders.WHOLE).otherwise(0)
+    files = filters.classify(folders.read_contents(listing.withColumn("want", want)), options)
+    files = files.withColumn("text", tx.decode(F.col("content"))).withColumn(
+        "display_path", paths.display_path(F.col("top"), F.col("root"), F.col("path"))
+    ).drop("content")
+    run = runs.Run(files, options, sources=folders.source_table(spark, sources))
+    rows = {r.bundle: r for r in run.manifest.collect()}
+    assert {b: (r.status, r.total_files, r.skipped_files, r.read_errors) for b, r in rows.items()} == {
+        "zeta": ("written", 2, 0, 0), "alpha": (runs.FAILED, 0, 1, 1), "mid": ("written", 2, 0, 0),
+        "beta": ("written", 2, 0, 1),
+    }
+    budget = sorted((r.progress, r.bundle) for r in run.budget.collect())
+    assert budget == [("1/4", "zeta"), ("2/4", "alpha"), ("3/4", "mid"), ("4/4", "beta")]
+    order = [r.bundle for r in run.all_bundles.orderBy("position").collect()]
+    assert list(dict.fromkeys(order)) == ["zeta", "mid", "beta"]
+    none = runs.Run(files.filter("bundle = 'alpha'"), options, sources=folders.source_table(spark, sources[1:2]))
+    assert [r.status for r in none.manifest.collect()] == [runs.FAILED]
+
+
+def test_unreadable_files_have_their_own_reason(spark, tmp_path, monkeypatch):
+    root = put(tmp_path / "u", {"a.txt": "plain", "b.txt": "plain"})
+    listing = folders.list_files(spark, [Source(str(root), "b")]).withColumn("want", F.lit(folders.WHOLE))
+    (root / "b.txt").rename(root / "b.bak")
+    read = filters.classify(folders.read_contents(listing), Options())
+    assert {r.rel_path: r.skip_reason for r in read.collect()} == {"a.txt": None, "b.txt": filters.UNREADABLE}
+
+
+def test_unusable_ignore_file_gives_way_to_the_next(spark, tmp_path):
+    rules = {".gptignore": "[z-a].txt\n", ".gitignore": "*.log\n"}
+    bad = put(tmp_path / "bad", {**rules, "a.log": "x", "a.txt": "x"})
+    well = put(tmp_path / "well", {".gptignore": "*.txt\n", ".gitignore": "*.log\n", "a.log": "x", "a.txt": "x"})
+    kept, _ = collected(spark, [Source(str(bad), "bad"), Source(str(well), "well")], extensions="log, txt")
+    assert kept == [("bad", "a.txt"), ("well", "a.log")]
 
 
 def test_two_sources_cannot_share_a_bundle(spark, projects):
@@ -138,8 +188,8 @@ def expected_standard(tree_text):
         "\n" + BAR, "\nDIRECTORY STRUCTURE:", BAR, tree_text, BAR, "",
     ]
     for name in ORDER:
-        body = FILES["project1/" + name]
-        head += [BAR, f"BEGIN FILE: project1/{name}", BAR, body, BAR, f"END FILE: project1/{name}", BAR, ""]
+        body = FILES["harbour/" + name]
+        head += [BAR, f"BEGIN FILE: harbour/{name}", BAR, body, BAR, f"END FILE: harbour/{name}", BAR, ""]
         if not body.endswith("\n"):
             head.insert(-4, "")
     return "\n".join(head)
@@ -147,22 +197,22 @@ def expected_standard(tree_text):
 
 def test_standard_bundle_and_files(spark, projects, tmp_path):
     options = Options(as_of=STAMP)
-    files = runs.collect(spark, [Source(str(projects / "project1"), "project1")], options)
+    files = runs.collect(spark, [Source(str(projects / "harbour"), "port")], options)
     run = runs.Run(files, options)
     want = expected_standard(TREE)
     assert text_of(run.sections) == want
     row = run.stats.first()
     assert row.file_types == {".json": 1, ".py": 2, ".txt": 2}
-    assert (row.total_files, row.total_size_bytes) == (5, 570)
+    assert (row.total_files, row.total_size_bytes) == (5, BYTES)
     assert (row.character_count, row.line_count) == (len(want), want.count("\n") + 1)
     assert row.token_count == len(want) // 4
     assert row.avg_tokens_per_file == round(len(want) // 4 / 5, 2)
-    assert row.compression_ratio == round((1 - len(want) / 570) * 100, 2)
+    assert row.compression_ratio == round((1 - len(want) / BYTES) * 100, 2)
     assert run.budget.first().progress == "1/1"
     assert run.redactions.count() == run.skips.count() == 0
     assert run.totals.filter("bundle is null").first().files == 5
     run.write(str(tmp_path / "out"))
-    parts = sorted((tmp_path / "out/bundles/bundle_file=project1_20251123_140000.txt").glob("part-*"))
+    parts = sorted((tmp_path / "out/bundles/bundle_file=port_20251123_140000.txt").glob("part-*"))
     assert "".join(p.read_text() for p in parts) == want
     assert spark.read.parquet(str(tmp_path / "out/report")).first().skipped_files == 0
 
@@ -239,7 +289,7 @@ def test_tree_last_folder_and_depth(spark):
 
 
 def test_statistics_sample(spark):
-    text = "Test content\n" * 1000
+    text = "twelve chars\n" * 1000
     one = spark.createDataFrame([("s", text)], "bundle string, section string").select(
         "bundle", F.length("section").cast("bigint").alias("chars"), F.lit(1000).cast("bigint").alias("lines")
     )
@@ -250,9 +300,12 @@ def test_statistics_sample(spark):
 def test_upsert_and_store(spark, tmp_path):
     old = spark.createDataFrame([("a", "k", "1"), ("b", "k", "2")], "name string, key string, value string")
     new = spark.createDataFrame([("b", "k", None), ("c", "k", "4")], "name string, key string, value string")
-    merged = {tuple(r) for r in upsert.upsert(old, new, ["name", "key"]).collect()}
+    merged = {tuple(r) for r in upsert.upsert(old, new, ["name"]).collect()}
     assert merged == {("a", "k", "1"), ("b", "k", None), ("c", "k", "4")}
-    assert upsert.upsert(old, new, ["name", "key"], merge=False).count() == 2
+    assert upsert.upsert(old, new, ["name"], merge=False).count() == 2
+    several = spark.createDataFrame([("b", "k", "2"), ("b", "l", "3"), ("a", "l", "5")], old.schema)
+    merged = {tuple(r) for r in upsert.upsert(several, new, ["name"]).collect()}
+    assert merged == {("a", "l", "5"), ("b", "k", None), ("c", "k", "4")}  # b loses its second setting
 
     bodies = spark.createDataFrame([("Review", "Line\nTwo")], "name string, body string")
     sinks.export_store(old, bodies, str(tmp_path / "store"), "2024-01-02 03:04:05")
@@ -295,7 +348,7 @@ def filters_kept(spark, root, options):
 
 def test_kept_and_skipped_add_up(spark, projects):
     options = Options(safe_mode=True, min_size_kb=0.1)
-    classified = runs.collect(spark, [Source(str(projects / "project1"), "p")], options)
+    classified = runs.collect(spark, [Source(str(projects / "harbour"), "p")], options)
     assert classified.count() == 5
     assert classified.filter("skip_reason is null").count() + classified.filter(
         "skip_reason is not null"
