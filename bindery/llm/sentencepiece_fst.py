@@ -9,8 +9,9 @@ the path of least cost in the tropical semiring.
 * Byte-pair models: arcs cost nothing, but two pieces may follow each other only
   if the merges leave them apart when applied to just these two; other pairs cost
   infinity. A sequence is the merge result exactly if all neighbouring pairs are
-  such, so one path has finite cost, and a position needs to know only the last
-  piece of the one path that reaches it.
+  such, so one path has finite cost, and it is the only finite one that reaches
+  its positions. Depth first, longest arcs first, finds it; a position from which
+  the search came back once is never tried again.
 
 Where no piece can cross (before a space, around line ends) the composition falls
 apart into units, which are solved one by one and remembered, up to a bound.
@@ -20,18 +21,19 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 from sentencepiece import sentencepiece_model_pb2
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-KEPT_UNITS, KEPT_LENGTH = 200_000, 100
+KEPT_UNITS, KEPT_LENGTH = 300_000, 60
 UNIGRAM, BYTE_PAIR = 1, 2
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNKNOWN_COST = 10.0
@@ -58,50 +60,87 @@ class Transducer:
         for byte, i in self.byte_ids.items():
             self.surface[i] = bytes([byte])
         self.dearest = max((-self.score[i] for i in self.pieces.values()), default=0.0) + UNKNOWN_COST
+        self.cost = {p: -self.score[i] for p, i in self.pieces.items()}
+        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.pieces), "") for p in self.pieces}
+        self.whole_letters = {p for p in self.pieces if len(p) == 1}
         self.units = self._unit_pattern()
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[tuple[str, str], bool] = {}
         self.solved: dict[str, tuple[int, ...]] = {}
 
     def _unit_pattern(self) -> re.Pattern:
-        """Splits where no piece can cross; one unit if spaces stand inside pieces."""
+        """Splits where no piece can cross; one unit if spaces stand inside pieces.
+
+        Besides spaces and line ends these are places between a letter or digit
+        and a mark that no piece has after a letter or digit.
+        """
         longer = [p for p in self.pieces if len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in longer):
             return re.compile(".+", re.S)
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in longer))
-        return re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
+        joined = {b for p in longer for a, b in zip(p, p[1:]) if a.isalnum()}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in joined and c != "_")
+        rest = f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")
+        return re.compile((rf"{SPACE}*[^\W_]+(?=[{marks}])|" if marks else "") + rest)
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges of a short string: best score first, then leftmost."""
-        parts = list(text)
-        while True:
-            best = None
-            for i in range(len(parts) - 1):
-                place = self.pieces.get(parts[i] + parts[i + 1])
-                if place is not None and (best is None or self.score[place] > best[0]):
-                    best = (self.score[place], i)
-            if best is None:
-                return parts
-            i = best[1]
+        parts, cost = list(text), self.cost.get
+        costs = [cost(a + b, math.inf) for a, b in zip(parts, parts[1:])]
+        while costs and (best := min(costs)) < math.inf:
+            i = costs.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
-    def may_follow(self, left: int, right: int) -> bool:
-        """The merges leave these two pieces apart and whole; -1 stands for the start or a fallback."""
+            del costs[i]
+            if i:
+                costs[i - 1] = cost(parts[i - 1] + parts[i], math.inf)
+            if i < len(costs):
+                costs[i] = cost(parts[i] + parts[i + 1], math.inf)
+        return parts
+
+    def may_follow(self, left: str, right: str) -> bool:
+        """The merges leave these two pieces apart and whole; an empty one stands for the start or a fallback."""
         found = self.follows.get((left, right))
         if found is None:
-            if len(self.follows) > 4 * KEPT_UNITS:
+            if len(self.follows) > 2 * KEPT_UNITS:
                 self.follows.clear()
-            before = [self.text[left]] if left >= 0 else []
-            found = self.merged("".join(before) + self.text[right]) == [*before, self.text[right]]
+            found = self.merged(left + right) == ([left, right] if left else [right])
             self.follows[left, right] = found
         return found
 
+    def only_path(self, unit: str) -> tuple[int, ...]:
+        """The finite path of a byte-pair model over a unit all of whose characters are pieces."""
+        pieces, starts, follows, n = self.pieces, self.starts, self.follows, len(unit)
+        path, at, closed, piece = [""], 0, set(), None
+        while True:
+            if piece is None:  # arrived at a new place: the longest arc first
+                if at == n:
+                    return tuple(map(pieces.__getitem__, path[1:]))
+                end = at + 1
+                while end <= n and (part := unit[at:end]) in starts:
+                    if part in pieces:
+                        piece = part
+                    end += 1
+            end, last = at + len(piece), path[-1]
+            if end not in closed:
+                good = follows.get((last, piece))
+                if good or (good is None and self.may_follow(last, piece)):
+                    path.append(piece)
+                    at, piece = end, None
+                    continue
+            piece = self.shorter[piece]
+            if not piece:  # no arc left here: go back and take a shorter one
+                closed.add(at)
+                piece = path.pop()
+                at -= len(piece)
+
     def shortest_path(self, unit: str) -> tuple[int, ...]:
         n, pair = len(unit), self.kind == BYTE_PAIR
+        if pair and self.whole_letters.issuperset(unit):
+            return self.only_path(unit)
         cost, last, came = [0.0] + [math.inf] * n, [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
             if cost[i] == math.inf:
                 continue
-            here, left = cost[i], last[i]
+            here, left = cost[i], self.text[last[i]] if last[i] >= 0 else ""
             for j in range(i + 1, n + 1):
                 piece = unit[i:j]
                 if piece not in self.starts:
@@ -110,7 +149,7 @@ class Transducer:
                 if place is None:
                     continue
                 total = here if pair else here - self.score[place]
-                if total < cost[j] and (not pair or self.may_follow(left, place)):
+                if total < cost[j] and (not pair or self.may_follow(left, piece)):
                     cost[j], last[j], came[j] = total, place, i
             if unit[i] not in self.pieces and here + self.dearest < cost[i + 1]:
                 cost[i + 1], last[i + 1], came[i + 1] = here + (0.0 if pair else self.dearest), -1, i
@@ -149,22 +188,36 @@ def transducer(model: bytes) -> Transducer:
     return Transducer(model)
 
 
-def codec(spark: SparkSession, model: str = MODEL):
-    """Column functions (encode, decode) for the model file at ``model``, read by the driver."""
-    with open(model, "rb") as file:
-        shared = spark.sparkContext.broadcast(file.read())  # one vocabulary file
+TOKENS = StructType().add("token_ids", ArrayType(IntegerType())).add("restored", BooleanType())
+
+
+class Codec:
+    """Column functions for the model file at ``model``, which the driver reads."""
+
+    def __init__(self, spark: SparkSession, model: str = MODEL):
+        with open(model, "rb") as file:
+            shared = spark.sparkContext.broadcast(file.read())  # one vocabulary file
+
+        @F.pandas_udf(ArrayType(IntegerType()))
+        def encode(texts: pd.Series) -> pd.Series:
+            machine = transducer(shared.value)
+            return pd.Series([None if t is None else machine.encode(t) for t in texts], index=texts.index)
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        machine = transducer(shared.value)
-        return pd.Series([None if t is None else machine.encode(t) for t in texts], index=texts.index)
+        @F.pandas_udf(StringType())
+        def decode(ids: pd.Series) -> pd.Series:
+            machine = transducer(shared.value)
+            return pd.Series([None if x is None else machine.decode(x) for x in ids], index=ids.index)
 
-    @F.pandas_udf(StringType())
-    def decode(ids: pd.Series) -> pd.Series:
-        machine = transducer(shared.value)
-        return pd.Series([None if x is None else machine.decode(x) for x in ids], index=ids.index)
+        @F.pandas_udf(TOKENS)
+        def both(texts: pd.Series) -> pd.DataFrame:
+            """Ids, and whether they decode to the text; U+2581 comes back as a space."""
+            machine, rows = transducer(shared.value), []
+            for text in texts:
+                ids = None if text is None else machine.encode(text)
+                rows.append((ids, ids is None or machine.decode(ids) == text.replace(SPACE, " ")))
+            return pd.DataFrame(rows, columns=TOKENS.names, index=texts.index)
 
-    return encode, decode
+        self.encode, self.decode, self.both = encode, decode, both
 
 
 def encode(docs: DataFrame, model: str = MODEL, column: str = "token_ids") -> DataFrame:
@@ -173,7 +226,7 @@ def encode(docs: DataFrame, model: str = MODEL, column: str = "token_ids") -> Da
     Null texts give null, empty ones an empty array. Lone surrogates cannot occur
     in Spark strings. Rows, ids and other columns pass through; there is no shuffle.
     """
-    return docs.withColumn(column, codec(docs.sparkSession, model)[0](F.col("text")))
+    return docs.withColumn(column, Codec(docs.sparkSession, model).encode(F.col("text")))
 
 
 def decode(tokens: DataFrame, model: str = MODEL, column: str = "token_ids", into: str = "text") -> DataFrame:
@@ -182,18 +235,17 @@ def decode(tokens: DataFrame, model: str = MODEL, column: str = "token_ids", int
     Undoes ``encode`` but for U+2581 itself, which comes back as a space. Ids of
     control pieces have no text; bytes that are not UTF-8 become U+FFFD.
     """
-    return tokens.withColumn(into, codec(tokens.sparkSession, model)[1](F.col(column)))
+    return tokens.withColumn(into, Codec(tokens.sparkSession, model).decode(F.col(column)))
 
 
 def tokenized(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, token_ids, n_tokens, and ``restored``: whether decoding gives the text back."""
-    encoded = encode(docs.select("doc_id", "text"), model)
-    text: Column = F.translate("text", SPACE, " ")
-    return decode(encoded, model, into="decoded").select(
+    tokens = Codec(docs.sparkSession, model).both("text")
+    return docs.select("doc_id", tokens.alias("tokens")).select(
         "doc_id",
-        "token_ids",
-        F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        F.col("decoded").eqNullSafe(text).alias("restored"),
+        F.col("tokens")["token_ids"].alias("token_ids"),
+        F.coalesce(F.size(F.col("tokens")["token_ids"]), F.lit(0)).cast("long").alias("n_tokens"),
+        F.col("tokens")["restored"].alias("restored"),
     )
 
 
