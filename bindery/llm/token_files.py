@@ -23,14 +23,13 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
-from bindery.llm.rows import row_key, written
+from bindery.llm.rows import written
 from bindery.session import scratch_path
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEPARATOR = 50256
 BLOCK, SPAN = 1 << 20, 1024
-FILE_DOCUMENTS = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -39,18 +38,15 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
-def in_file_order(docs: DataFrame) -> DataFrame:
-    """``docs`` with the token file each row goes to; rows lie there by (doc_id, row_key)."""
-    files = docs.count() // FILE_DOCUMENTS + 1
-    return docs.withColumn("file_no", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(files)).cast("int"))
-
-
 def write_token_files(docs: DataFrame, path: str, ranks: str = RANKS, separator: int = SEPARATOR) -> DataFrame:
-    """Write ``file_no=<n>/part-*`` files of ids; returns (file_no, nth, doc_id, row_key), what lies where.
+    """Write ``part-<n>-*`` files of ids, one per task; returns (file_no, nth, doc_id), what lies where.
 
     Null texts are empty documents. Spark's text writer does the writing, so a
     file appears only when its task commits: a row's bytes are its ids, and the
-    line separator is the separator id.
+    line separator is the separator id. Tokens are not shuffled; rows keep the
+    order in which ``docs`` is read. The places are read from ``docs`` once more,
+    so it must be a table that gives the same rows in the same splits again, as
+    files do.
     """
     spark = docs.sparkSession
     with open(ranks, "rb") as file:
@@ -61,21 +57,17 @@ def write_token_files(docs: DataFrame, path: str, ranks: str = RANKS, separator:
         coder = encoding(shared.value)
         return pd.Series([np.array(coder.encode_ordinary(t or ""), "<u2").tobytes() for t in texts], index=texts.index)
 
-    keyed = in_file_order(docs.select("doc_id", row_key().alias("row_key"), "text"))
-    files = keyed.select("file_no").distinct().count()
     (
-        keyed.select("file_no", "doc_id", "row_key", ids("text").alias("ids"))
-        .repartition(files, "file_no")
-        .sortWithinPartitions("file_no", "doc_id", "row_key")
-        .select("file_no", F.col("ids").cast("string").alias("value"))
-        .write.partitionBy("file_no")
-        .option("encoding", "ISO-8859-1")
+        docs.select(ids("text").cast("string").alias("value"))
+        .write.option("encoding", "ISO-8859-1")
         .option("lineSep", separator.to_bytes(2, "little").decode("latin-1"))
         .text(path)
     )
-    order = Window.partitionBy("file_no").orderBy("doc_id", "row_key")
-    return keyed.select("file_no", "doc_id", "row_key").select(
-        "file_no", (F.row_number().over(order) - 1).cast("long").alias("nth"), "doc_id", "row_key"
+    place = F.monotonically_increasing_id()
+    return docs.select("doc_id", place.alias("place")).select(
+        F.shiftright("place", 33).cast("int").alias("file_no"),
+        F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"),
+        "doc_id",
     )
 
 
@@ -180,6 +172,6 @@ def digest(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "token-files")
     placed = write_token_files(docs, path)
-    file_no = F.regexp_extract("path", r"/file_no=(\d+)/", 1).cast("int")
+    file_no = F.regexp_extract("path", r"/part-(\d+)-[^/]*$", 1).cast("int")
     counts = count_tokens(spark, path).select(file_no.alias("file_no"), "nth", "n_tokens", "ended")
     return placed.join(counts, ["file_no", "nth"], "full").select("doc_id", "file_no", "nth", "n_tokens", "ended")

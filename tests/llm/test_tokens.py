@@ -38,11 +38,12 @@ def test_any_block_size_gives_the_same_documents(spark, tmp_path, block, monkeyp
     assert all([x[0] for x in sorted(v)] == list(range(len(v))) for v in got.values())
 
 
-def test_counts_of_documents(spark):
+def test_counts_of_documents(spark, tmp_path):
     texts = [*awkward_texts(), (900, "mixed <|endoftext|> text"), (901, "ä" * 999)]
     with open(tf.RANKS, "rb") as file:
         coder = tf.encoding(file.read())
-    got = tf.digest(documents(spark, texts)).collect()
+    documents(spark, texts).repartition(5).write.parquet(str(tmp_path / "docs"))
+    got = tf.digest(spark.read.parquet(str(tmp_path / "docs"))).collect()
     want = sorted(((i, len(coder.encode_ordinary(t or ""))) for i, t in texts), key=repr)
     assert sorted(((r.doc_id, r.n_tokens) for r in got), key=repr) == want
     assert all(r.ended for r in got)
