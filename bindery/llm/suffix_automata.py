@@ -41,7 +41,7 @@ from pyspark.sql.types import (
 from bindery.llm.rows import row_key, same_key, written
 
 WINDOW, GRAM = 50, 10
-SHARD_WORDS, PORTION_WORDS = 100_000, 300_000
+SHARD_WORDS, PORTION_WORDS, PORTION_PIECES = 40_000, 200_000, 2_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -141,26 +141,32 @@ def list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-PIECE = StructType().add("words", StringType()).add("windows", ArrayType(LongType()))
+PIECE = (
+    StructType()
+    .add("anchor", LongType())
+    .add("segment", LongType())
+    .add("owner", LongType())
+    .add("words", StringType())
+    .add("windows", ArrayType(LongType()))
+)
 
 
-@F.pandas_udf(ArrayType(PIECE))
-def pieces_of(texts: pd.Series, firsts: pd.Series, counts: pd.Series) -> pd.Series:
-    """The words of the asked segments and the hashes of their windows."""
+def cut_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each asked segment of a text: its words and the hashes of its windows."""
     out = []
-    for text, first, count in zip(texts, firsts, counts):
-        words = split_words(text)
-        hashes = Hashes(words)
-        out.append(
-            [
-                {
-                    "words": b" ".join(words[f : f + n + WINDOW - 1]).decode("utf-8"),
-                    "windows": hashes.run(np.arange(f, f + n), WINDOW).view(np.int64),
-                }
-                for f, n in zip(first, count)
-            ]
-        )
-    return pd.Series(out, index=texts.index)
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            words = split_words(row.text)
+            hashes = Hashes(words)
+            for anchor, segment, first, n in zip(row.anchors, row.segments, row.firsts, row.counts):
+                text = b" ".join(words[first : first + n + WINDOW - 1]).decode("utf-8")
+                windows = hashes.run(np.arange(first, first + n), WINDOW).view(np.int64)
+                out.append((anchor, segment, row.owner, text, windows))
+                if len(out) >= PORTION_PIECES:
+                    yield pd.DataFrame(out, columns=PIECE.names)
+                    out = []
+    if out:
+        yield pd.DataFrame(out, columns=PIECE.names)
 
 
 class Automaton:
@@ -310,17 +316,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("owner").alias("doc_id"), F.col("place")["row_key"].alias("row_key"))
         .agg(F.collect_list(F.struct("anchor", "segment", F.col("place")["first"].alias("first"), "n")).alias("asked"))
     )
+    fields = {"anchors": "anchor", "segments": "segment", "firsts": "first", "counts": "n"}
     several = written(
         texts.join(asked, same_key(texts, asked, "doc_id", "row_key"))
-        .select(texts["doc_id"].alias("owner"), "asked", pieces_of("text", F.col("asked")["first"], F.col("asked")["n"]).alias("pieces"))
-        .select("owner", F.explode(F.arrays_zip("asked", "pieces")).alias("x"))
-        .select(
-            F.col("x")["asked"]["anchor"].alias("anchor"),
-            F.col("x")["asked"]["segment"].alias("segment"),
-            "owner",
-            F.col("x")["pieces"]["words"].alias("words"),
-            F.col("x")["pieces"]["windows"].alias("windows"),
-        )
+        .select(texts["doc_id"].alias("owner"), "text", *[F.col("asked")[f].alias(name) for name, f in fields.items()])
+        .mapInPandas(cut_pieces, PIECE)
         .dropDuplicates(["anchor", "segment"]),
         "several",
     )
