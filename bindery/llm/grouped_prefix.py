@@ -33,7 +33,7 @@ from bindery.llm.linkage import linked
 from bindery.llm.rows import row_key, same_key, written
 
 SHINGLE, PERCENT = 5, 80
-PART_TOKENS = 2_000_000
+PART_TOKENS, PART_SETS, BATCH_TOKENS = 500_000, 20_000, 500_000
 MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64
 )
@@ -102,9 +102,17 @@ PACKED = (
     .add("ids", BinaryType())
     .add("counts", BinaryType())
 )
+COUNTED = StructType().add("part", LongType()).add("ids", BinaryType()).add("counts", BinaryType())
 SHARED = StructType().add("set_id", LongType()).add("shared", LongType())
 
 
+def in_portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in portions of bounded size."""
+    portion = batch["prefix"].map(len).cumsum() // (8 * BATCH_TOKENS)
+    for _, rows in batch.groupby(portion):
+        yield rows
+
+
 def packer(parts: int):
     """Per batch each prefix shingle once, packed by part.
 
@@ -114,12 +122,9 @@ def packer(parts: int):
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.drop_duplicates("set_id")
+        for batch in (x for b in batches for x in in_portions(b.drop_duplicates("set_id"))):
             ids = batch["set_id"].to_numpy(np.int64)
             each = [np.frombuffer(b, np.uint64) for b in batch["prefix"]]
-            if not each:
-                continue
             owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
             values, first, back, count = np.unique(
                 np.concatenate(each), return_index=True, return_inverse=True, return_counts=True
@@ -153,38 +158,48 @@ def joined(column: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
-def count_shared(part: pd.DataFrame) -> pd.DataFrame:
-    """For each set how many of this part's shingles another set has too (or more than that)."""
-    lone, owner = joined(part["lone"], np.uint64), joined(part["owner"], np.int64)
-    order = np.lexsort((owner, lone))
-    lone, owner = lone[order], owner[order]
-    new = np.ones(len(lone), bool)
-    new[1:] = (lone[1:] != lone[:-1]) | (owner[1:] != owner[:-1])
-    lone, owner = lone[new], owner[new]
-    shared = np.isin(lone, joined(part["common"], np.uint64))
-    twice = lone[1:] == lone[:-1]
-    shared[1:] |= twice
-    shared[:-1] |= twice
-    found, n = np.unique(owner[shared], return_counts=True)
-    return pd.DataFrame(
-        {
-            "set_id": np.concatenate([found, joined(part["ids"], np.int64)]),
-            "shared": np.concatenate([n, joined(part["counts"], np.int64)]),
-        }
-    )
+def shared_counter(parts: int):
+    """Counts of one part's shingles, packed by the part that adds a set's counts up."""
+
+    def count_shared(part: pd.DataFrame) -> pd.DataFrame:
+        """For each set how many of this part's shingles another set has too (or more than that)."""
+        lone, owner = joined(part["lone"], np.uint64), joined(part["owner"], np.int64)
+        order = np.lexsort((owner, lone))
+        lone, owner = lone[order], owner[order]
+        new = np.ones(len(lone), bool)
+        new[1:] = (lone[1:] != lone[:-1]) | (owner[1:] != owner[:-1])
+        lone, owner = lone[new], owner[new]
+        shared = np.isin(lone, joined(part["common"], np.uint64))
+        twice = lone[1:] == lone[:-1]
+        shared[1:] |= twice
+        shared[:-1] |= twice
+        found, n = np.unique(owner[shared], return_counts=True)
+        ids = np.concatenate([found, joined(part["ids"], np.int64)])
+        counts = np.concatenate([n, joined(part["counts"], np.int64)])
+        to = ids % parts
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
+        rows = [(int(to[x[0]]), ids[x].tobytes(), counts[x].tobytes()) for x in np.split(order, cuts[1:]) if len(x)]
+        return pd.DataFrame(rows, columns=COUNTED.names)
+
+    return count_shared
+
+
+def add_up(part: pd.DataFrame) -> pd.DataFrame:
+    ids, back = np.unique(joined(part["ids"], np.int64), return_inverse=True)
+    return pd.DataFrame({"set_id": ids, "shared": np.bincount(back, joined(part["counts"], np.int64), len(ids)).astype(np.int64)})
 
 
 def screened(sets: DataFrame) -> DataFrame:
     """Ids of the sets that may link with another one."""
-    tokens = sets.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
-    parts = max(1, int(tokens // PART_TOKENS) + 1)
+    tokens, rows = sets.agg(F.coalesce(F.sum(F.length("prefix")) / 8, F.lit(0)), F.count(F.lit(1))).first()
     shared = (
         sets.select("set_id", "prefix")
-        .mapInPandas(packer(parts), PACKED)
+        .mapInPandas(packer(int(tokens // PART_TOKENS) + 1), PACKED)
         .groupBy("part")
-        .applyInPandas(count_shared, SHARED)
-        .groupBy("set_id")
-        .agg(F.sum("shared").alias("shared"))
+        .applyInPandas(shared_counter(int(rows // PART_SETS) + 1), COUNTED)
+        .groupBy("part")
+        .applyInPandas(add_up, SHARED)
     )
     sizes = sets.groupBy("set_id").agg(F.first("n_shingles").alias("n"))
     least = F.ceil(PERCENT * F.col("n") / 100)
@@ -192,10 +207,9 @@ def screened(sets: DataFrame) -> DataFrame:
 
 
 def with_prefixes(whole: DataFrame) -> DataFrame:
-    """(set_id, n, rank, prefix) of the sets whose rare shingles leave room for a match.
+    """(set_id, n, rare, prefix) of the sets whose rare shingles leave room for a match.
 
-    ``rank`` is the share of shingles that no other set has: a text that others
-    were copied from has few.
+    ``rare`` counts the shingles that no other set has; they come first in the order.
     """
     tokens = whole.select("set_id", F.explode("shingles").alias("h"))
     frequency = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -210,7 +224,7 @@ def with_prefixes(whole: DataFrame) -> DataFrame:
         .select(
             "set_id",
             "n",
-            (1 - F.size("common") / F.col("n")).alias("rank"),
+            (F.col("n") - F.size("common")).alias("rare"),
             F.slice(F.col("common")["h"], F.lit(1), room.cast("int")).alias("prefix"),
         )
     )
@@ -221,8 +235,15 @@ def similar(a: Column, b: Column) -> Column:
     return 100 * both >= PERCENT * (F.size(a) + F.size(b) - both)
 
 
-def sizes_fit(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def may_link(a: Column, b: Column) -> Column:
+    """Sizes fit, and enough shingles are left from the first one in common on.
+
+    Each side is (n, place): set size, and how many shingles come before this one.
+    The test holds for the first common shingle of any two linked sets.
+    """
+    sizes = 100 * F.least(a["n"], b["n"]) >= PERCENT * F.greatest(a["n"], b["n"])
+    left = F.least(a["n"] - a["place"], b["n"] - b["place"])
+    return sizes & ((100 + PERCENT) * left >= PERCENT * (a["n"] + b["n"]))
 
 
 def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -253,16 +274,23 @@ def set_labels(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     # Groups of one size and prefix; those that differ from the first member leave.
     alike = prefixes.groupBy("n", "prefix").agg(F.min("set_id").alias("leader"), F.count(F.lit(1)).alias("members"))
-    grouped = prefixes.join(alike, ["n", "prefix"]).select("set_id", "n", "rank", "prefix", "leader", "members")
+    grouped = prefixes.join(alike, ["n", "prefix"]).select("set_id", "n", "rare", "prefix", "leader", "members")
     inside = grouped.filter("members > 1 and set_id <> leader").select(F.col("set_id").alias("x"), F.col("leader").alias("y"))
     stay = verified(inside, whole).select(F.col("x").alias("set_id"), F.col("y").alias("stay_with"))
     members = written(
-        grouped.join(stay, "set_id", "left").select("set_id", "n", "rank", "prefix", F.coalesce("stay_with", "set_id").alias("node")),
+        grouped.join(stay, "set_id", "left").select("set_id", "n", "rare", "prefix", F.coalesce("stay_with", "set_id").alias("node")),
         "groups",
     )
+    # A text that others were copied from has few rare shingles: it is compared first.
     buckets = (
         members.filter("set_id = node")
-        .select(F.explode("prefix").alias("bucket"), "node", "rank", F.col("n").alias("trait"))
+        .select("node", "n", "rare", F.posexplode("prefix").alias("i", "bucket"))
+        .select(
+            "bucket",
+            "node",
+            (F.col("rare") / F.col("n")).alias("rank"),
+            F.struct("n", (F.col("rare") + F.col("i")).alias("place")).alias("trait"),
+        )
     )
 
     def leaders(pairs: DataFrame) -> DataFrame:
@@ -275,7 +303,7 @@ def set_labels(docs: DataFrame, sets: DataFrame) -> DataFrame:
         )
         return verified(expanded, whole).select("a", "b").distinct()
 
-    labels = linked(buckets, sizes_fit, leaders, all_members)
+    labels = linked(buckets, may_link, leaders, all_members)
     return (
         members.select("set_id", "node")
         .join(labels, "node", "left")

@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     points a node's neighbours to the least of them. A hub's edges are never
     gathered: its least neighbour comes from a partial aggregation and is joined
     back, a join that adaptive execution can split. Each round is a written
-    table; the loop ends when a round changes nothing.
+    table; the loop ends when all that is left are stars around their least node.
     """
 
     def stars(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -32,17 +32,17 @@ def components(edges: DataFrame) -> DataFrame:
     def tidy(pairs: DataFrame) -> DataFrame:
         return written(pairs.filter("u <> v").distinct(), "components")
 
-    def mark(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def unfinished(pairs: DataFrame) -> bool:
+        """Whether some node has two edges upwards, or is both above and below others."""
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                              F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+        per_node = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        return not per_node.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
 
     now = tidy(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    seen = mark(now)
-    while seen[0]:
+    while unfinished(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         now = tidy(stars(tidy(stars(both, larger=True)), larger=False))
-        was, seen = seen, mark(now)
-        if was == seen:
-            break
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         roots.select("node", F.col("node").alias("label"))
@@ -58,9 +58,10 @@ def linked(
 ) -> DataFrame:
     """(node, label) of all nodes that have a link, where linked nodes share a bucket.
 
-    ``buckets`` holds (bucket, node, rank, trait), all numbers. ``quick`` and
+    ``buckets`` holds (bucket, node, rank, trait); the trait may be a struct. ``quick`` and
     ``full`` turn candidate pairs (a, b) into those that are links; ``quick`` may
-    miss some. ``compatible`` is a cheap necessary test on two traits.
+    miss some. ``compatible`` is a cheap test on two traits; of every linked pair it
+    must pass at least one bucket.
 
     A group of near copies would give a number of pairs that is the square of
     its size, though few links join it up. So each round first compares every
