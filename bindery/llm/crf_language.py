@@ -14,36 +14,49 @@ whole. Model size is fixed by ``TABLE`` and the number of languages.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from bindery.llm.rows import row_key
 
 SAMPLE, SAMPLE_WORDS = 150, 400
 LEXICON = 500
-TABLE = 1 << 18
+TABLE_BITS = 18
+TABLE = 1 << TABLE_BITS
 SEQUENCES, STEPS, MEAN_RUN, ROUNDS = 4000, 32, 12, 30
-SEGMENT, BATCH_WORDS, CACHE_WORDS = 64, 400_000, 200_000
+SEGMENT, BATCH_WORDS = 64, 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-def word_features(word: str) -> list[int]:
-    """Table places of a word's affixes, n-grams and its own form."""
-    w = f"^{word.lower()}$"
-    names = [f"w{w}"]
-    names += [f"p{w[: n + 1]}" for n in range(1, min(4, len(w) - 1))]
-    names += [f"s{w[-n - 1 :]}" for n in range(1, min(5, len(w) - 1))]
-    names += [f"g{w[i : i + n]}" for n in (2, 3) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % TABLE for x in names]
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(table place, word number) of every feature of lower-cased words.
+
+    Features are the 2- to 4-grams of ``^word$``, which hold the affixes of up to
+    three letters, and the affixes of four.
+    """
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), sizes)
+    nth = np.arange(len(codes)) - (np.cumsum(sizes) - sizes)[word]
+    left = sizes[word] - nth
+    places, owners, gram = [], [], codes.copy()
+    for n in range(2, 6):
+        gram = gram[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+        fits = left[: len(gram)] >= n
+        if n == 5:
+            fits &= (nth[: len(gram)] == 0) | (left[: len(gram)] == n)
+        hashed = (gram[fits] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        places.append((hashed >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
+        owners.append(word[: len(gram)][fits])
+    return np.concatenate(places), np.concatenate(owners)
 
 
 @dataclass
@@ -55,16 +68,20 @@ class Field:
     transitions: np.ndarray  # (languages, languages)
     lexicon: dict[str, int]
 
-    def features(self, word: str) -> list[int]:
-        mask = self.lexicon.get(word.lower(), 0)
-        return word_features(word) + [TABLE + i for i in range(len(self.langs)) if mask >> i & 1]
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Features with those of the word lists, by word."""
+        places, owners = word_features(words)
+        masks = np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))
+        listed = [np.flatnonzero(masks >> i & 1) for i in range(len(self.langs))]
+        places = np.concatenate([places, *[np.full(len(x), TABLE + i) for i, x in enumerate(listed)]])
+        owners = np.concatenate([owners, *listed])
+        order = np.argsort(owners, kind="stable")
+        return places[order], owners[order]
 
-
-def row_sums(table: np.ndarray, rows: list[list[int]]) -> np.ndarray:
-    """The sum of the named table rows, for each list."""
-    counts = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter((x for r in rows for x in r), np.int64, int(counts.sum()))
-    return np.add.reduceat(table[flat], np.cumsum(counts) - counts)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The sum of each word's feature weights."""
+        places, owners = self.features(words)
+        return np.add.reduceat(self.weights[places], np.searchsorted(owners, np.arange(len(words))))
 
 
 def positive(scores: np.ndarray) -> np.ndarray:
@@ -82,7 +99,7 @@ def fit(words_by_lang: dict[str, list[str]], seed: int = 7) -> Field:
     k, rng = len(langs), np.random.default_rng(seed)
     lexicon: dict[str, int] = {}
     for i, lang in enumerate(langs):
-        common = Counter(w.lower() for w in words_by_lang[lang]).most_common()
+        common = Counter(words_by_lang[lang]).most_common()
         for word, _ in sorted(common, key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon[word] = lexicon.get(word, 0) | 1 << i
     field = Field(langs, np.zeros((TABLE + k, k), np.float32), np.zeros((k, k), np.float32), lexicon)
@@ -91,11 +108,10 @@ def fit(words_by_lang: dict[str, list[str]], seed: int = 7) -> Field:
 
     vocabulary: dict[str, int] = {}
     streams = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_by_lang[x]]) for x in langs]
-    rows = [field.features(w) for w in vocabulary]
-    flat = np.concatenate([np.array(r) for r in rows])
+    size = len(vocabulary)
+    flat, owner = field.features(list(vocabulary))
     used, flat = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    starts = np.searchsorted(owner, np.arange(len(rows)))
+    starts = np.searchsorted(owner, np.arange(size))
     by_feature = np.argsort(flat, kind="stable")
     feature_starts = np.searchsorted(flat[by_feature], np.arange(len(used)))
 
@@ -111,7 +127,7 @@ def fit(words_by_lang: dict[str, list[str]], seed: int = 7) -> Field:
 
     weights, moves = np.zeros((len(used), k)), np.zeros((k, k))
     grown_w, grown_m = np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)
-    truth = np.zeros((len(rows), k))
+    truth = np.zeros((size, k))
     np.add.at(truth, (at.ravel(), label.ravel()), 1)
     true_moves = np.zeros((k, k))
     np.add.at(true_moves, (label[:, :-1].ravel(), label[:, 1:].ravel()), 1)
@@ -129,7 +145,7 @@ def fit(words_by_lang: dict[str, list[str]], seed: int = 7) -> Field:
             backward[:, t] = x / x.sum(1, keepdims=True)
         p = forward * backward
         p /= p.sum(2, keepdims=True)
-        seen = np.stack([np.bincount(at.ravel(), p[:, :, i].ravel(), len(rows)) for i in range(k)], 1)
+        seen = np.stack([np.bincount(at.ravel(), p[:, :, i].ravel(), size) for i in range(k)], 1)
         pair = forward[:, :-1, :, None] * a * (e * backward)[:, 1:, None, :]
         expected_moves = (pair / pair.sum((2, 3), keepdims=True)).sum((0, 1))
         slope = np.add.reduceat((truth - seen)[owner[by_feature]], feature_starts) / total - 1e-5 * weights
@@ -205,31 +221,20 @@ def marginals(e: np.ndarray, a: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    """Labels words with a fitted field; emissions of seen words are kept, up to a bound."""
+    """Labels words with a fitted field."""
 
     def __init__(self, field: Field):
         self.field = field
         self.a = positive(field.transitions.reshape(1, -1).astype(np.float64)).reshape(field.transitions.shape)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.emissions = np.zeros((0, len(self.field.langs)), np.float32)
 
     def emit(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Emissions of the words that have a letter, and which these are."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.forget()
-            new = list(dict.fromkeys(words))
-        lettered = [w for w in new if any(map(str.isalpha, w))]
-        self.known.update(dict.fromkeys(new, -1))
-        if lettered:
-            self.known.update(zip(lettered, range(len(self.emissions), len(self.emissions) + len(lettered))))
-            found = row_sums(self.field.weights, [self.field.features(w) for w in lettered])
-            self.emissions = np.concatenate([self.emissions, positive(found)])
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        return self.emissions[at[at >= 0]], at >= 0
+        at, distinct = pd.factorize(np.array(words, object))
+        distinct = list(distinct)
+        lettered = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in distinct), bool, len(distinct))
+        e = positive(self.field.scores(distinct)) if distinct else np.zeros((0, len(self.field.langs)))
+        kept = lettered[at]
+        return e[at[kept]], kept
 
     def tag(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Per text the languages' probabilities for each lettered word."""
@@ -245,7 +250,7 @@ def in_portions(texts: pd.Series) -> Iterator[list[list[str]]]:
     """The words of consecutive texts, cut into portions of bounded size between texts."""
     portion, size = [], 0
     for text in texts:
-        words = WORD.findall(text) if text else []
+        words = WORD.findall(text.lower()) if text else []
         if portion and size + len(words) > BATCH_WORDS:
             yield portion
             portion, size = [], 0
@@ -263,7 +268,7 @@ def tagger_udf(spark, field: Field, with_runs: bool):
     shared = spark.sparkContext.broadcast(field)  # its size is fixed by TABLE and the languages
 
     def judged(p: np.ndarray) -> tuple:
-        if not len(p) or not shared.value.langs:
+        if not len(p):
             return UNKNOWN, 0.0, []
         mean = p.mean(0)
         best, runs = int(mean.argmax()), []
@@ -276,36 +281,42 @@ def tagger_udf(spark, field: Field, with_runs: bool):
 
     @F.pandas_udf(TAGGED)
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tagger = Tagger(shared.value)
+        tagger = Tagger(shared.value) if shared.value.langs else None
         for texts in batches:
-            rows = [judged(p) for portion in in_portions(texts) for p in tagger.tag(portion)]
+            if tagger:
+                rows = [judged(p) for portion in in_portions(texts) for p in tagger.tag(portion)]
+            else:
+                rows = [(UNKNOWN, 0.0, [])] * len(texts)
             yield pd.DataFrame(rows, columns=TAGGED.names, index=texts.index)
 
     return tag
 
 
 def training_words(docs: DataFrame, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> dict[str, list[str]]:
-    """Words of a sample of labelled texts: per language the ``sample`` documents that a hash picks.
+    """Words of a sample of labelled texts: about ``sample`` documents of each language, picked by hash.
 
     Of a longer text a stretch of ``sample_words`` words from a hashed place.
     """
-    key = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", row_key().alias("row_key"), "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("row_key"), "row_key")
-    picked = (
-        key.select("lang", "row_key").distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample)
-    )
-    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = labelled.groupBy("lang").count().collect()  # one row per language
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
+    drawn = F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     spare = F.greatest(F.size("words") - sample_words, F.lit(0)) + 1
+    stretch = F.slice("words", (F.pmod(F.xxhash64("row_key"), spare) + 1).cast("int"), sample_words)
     rows = (
-        key.join(picked.drop("nth"), ["lang", "row_key"])
-        .dropDuplicates(["lang", "row_key"])
+        labelled.select("lang", row_key().alias("row_key"), "text")
+        .filter(drawn)
         .select("lang", "row_key", words.alias("words"))
-        .select("lang", "row_key", F.slice("words", (F.pmod(F.xxhash64("row_key"), spare) + 1).cast("int"), sample_words).alias("words"))
+        .select("lang", "row_key", stretch.alias("words"))
+        .dropDuplicates(["lang", "row_key"])
         .collect()
     )
     out: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r.lang, r.row_key)):
-        out.setdefault(row.lang, []).extend(row.words)
+    for row in sorted(rows, key=lambda r: (r["lang"], r["row_key"])):
+        out.setdefault(row["lang"], []).extend(row["words"])
     return {lang: words for lang, words in out.items() if words}
 
 
