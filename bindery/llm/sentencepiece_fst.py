@@ -26,6 +26,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
@@ -33,7 +34,7 @@ from sentencepiece import sentencepiece_model_pb2
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-KEPT_UNITS, KEPT_LENGTH = 300_000, 60
+KEPT_UNITS, KEPT_LENGTH = 80_000, 60
 UNIGRAM, BYTE_PAIR = 1, 2
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNKNOWN_COST = 10.0
@@ -66,6 +67,7 @@ class Transducer:
         self.units = self._unit_pattern()
         self.follows: dict[tuple[str, str], bool] = {}
         self.solved: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # what was solved before the last turn
 
     def _unit_pattern(self) -> re.Pattern:
         """Splits where no piece can cross; one unit if spaces stand inside pieces.
@@ -100,7 +102,7 @@ class Transducer:
         """The merges leave these two pieces apart and whole; an empty one stands for the start or a fallback."""
         found = self.follows.get((left, right))
         if found is None:
-            if len(self.follows) > 2 * KEPT_UNITS:
+            if len(self.follows) > 4 * KEPT_UNITS:
                 self.follows.clear()
             found = self.merged(left + right) == ([left, right] if left else [right])
             self.follows[left, right] = found
@@ -165,14 +167,15 @@ class Transducer:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        solved, out = self.solved, []
+        solved, older, out = self.solved, self.older, []
         for unit in self.units.findall(self.prefix + text.replace(" ", SPACE)):
             ids = solved.get(unit)
             if ids is None:
-                ids = self.shortest_path(unit)
+                ids = older.get(unit) or self.shortest_path(unit)
                 if len(unit) <= KEPT_LENGTH:
                     if len(solved) >= KEPT_UNITS:
-                        solved.clear()
+                        older, solved = solved, {}
+                        self.older, self.solved = older, solved
                     solved[unit] = ids
             out += ids
         return out
@@ -214,7 +217,8 @@ class Codec:
             machine, rows = transducer(shared.value), []
             for text in texts:
                 ids = None if text is None else machine.encode(text)
-                rows.append((ids, ids is None or machine.decode(ids) == text.replace(SPACE, " ")))
+                restored = ids is None or machine.decode(ids) == text.replace(SPACE, " ")
+                rows.append((None if ids is None else np.array(ids, np.int32), restored))
             return pd.DataFrame(rows, columns=TOKENS.names, index=texts.index)
 
         self.encode, self.decode, self.both = encode, decode, both
