@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bindery.llm import equal_average as ea, four_russians as fr
 from bindery.llm.rows import UPPER
 from bindery.llm.url_filter import HREF, LINK_TAG, REFRESH_TAG, REFRESH_TO, RULES, URL
 
@@ -119,9 +120,74 @@ SELECT p.page_id, r.host, r.path, r.rule, coalesce(r.own, a.verdict, 'allow') AS
 FROM pages p JOIN ruled r ON r.url IS NOT DISTINCT FROM p.url LEFT JOIN alias a ON a.node = r.node AND r.host <> ''
 """
 
+def integers(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+ALL_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def clustering() -> str:
+    """Every round as two steps: who is nearest, and where the centroids go."""
+
+    def nearest(i: int) -> str:
+        off = "(v.q[i] - c.q[i])"
+        apart = f"list_sum(list_transform(range(1, {ea.DIMS + 1}), lambda i: {off} * {off}))"
+        return f"""a{i} AS MATERIALIZED (
+  SELECT r, arg_min(cluster, (distance, cluster)) AS cluster, CAST(min(distance) AS BIGINT) AS distance
+  FROM (SELECT v.r, c.cluster, {apart} AS distance FROM v, c{i} c) GROUP BY r)"""
+
+    def moved(i: int) -> str:
+        return f"""c{i + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.q, c{i}.q) AS q FROM c{i} LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY p) AS q FROM (
+      SELECT cluster, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+        SELECT cluster, unnest(q) AS x, unnest(range({ea.DIMS})) AS p FROM a{i} JOIN v USING (r)) GROUP BY cluster, p)
+    GROUP BY cluster) m USING (cluster))"""
+
+    rounds = ",\n".join(f"{nearest(i)},\n{moved(i)}" for i in range(ea.ROUNDS))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, {integers(ea.SCALE)} AS q FROM embeddings
+  WHERE len(embedding) = {ea.DIMS} AND {ALL_FINITE}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS cluster, q FROM (
+    SELECT sha256('{ea.SALT}' || vec_id) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT {ea.CLUSTERS})),
+{rounds},
+{nearest(ea.ROUNDS)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{ea.ROUNDS} JOIN v USING (r) JOIN c{ea.ROUNDS} c USING (cluster)
+"""
+
+
+HARD_NEGATIVES = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    {integers(fr.SCALE)} AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {ALL_FINITE}),
+scored AS MATERIALIZED (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, c.r AS other, c.vec_id, a.label = c.label AS same,
+    CAST(coalesce(list_sum(list_transform(range(1, least(len(a.q), len(c.q)) + 1), lambda i: a.q[i] * c.q[i])), 0) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.r <> c.r),
+positives AS (
+  SELECT anchor, anchor_id, other AS positive, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, other) <= {fr.POSITIVES}),
+negatives AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor, positive ORDER BY s.score DESC, s.vec_id, s.other) AS rank
+  FROM positives p JOIN scored s USING (anchor)
+  WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= {fr.NEGATIVES}
+"""
+
 ORACLES = {
     "op2_url_filter": URLS,
     "op4_benchmark_decontamination": BENCHMARK,
     "op7_substring_dedup": SUBSTRINGS,
     "op10_ngram_jaccard_join": JACCARD,
+    "op11_centroid_clustering": clustering(),
+    "op12_hard_negatives": HARD_NEGATIVES,
 }
