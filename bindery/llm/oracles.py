@@ -183,6 +183,29 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 FROM negatives WHERE rank <= {fr.NEGATIVES}
 """
 
+# Bytes as pairs of hexadecimal digits; a window is 200 of them.
+BYTES = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, s, md5(h[2 * s + 1:2 * s + 200]) AS win FROM d, LATERAL (SELECT unnest(range(len(h) // 2 - 99)) AS s)),
+first_place AS (SELECT win, min((doc_id, s)) AS place FROM windows GROUP BY win),
+starts AS (SELECT doc_id, s FROM windows JOIN first_place USING (win) WHERE (doc_id, s) > place),
+runs AS (
+  SELECT doc_id, s, s > 100 + coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -101) AS opens FROM starts),
+spans AS (
+  SELECT doc_id, min(s) AS low, max(s) + 100 AS high FROM (
+    SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM runs) GROUP BY doc_id, span),
+gaps AS (
+  SELECT doc_id, high AS low, coalesce(lead(low) OVER (PARTITION BY doc_id ORDER BY low), 1000000000000) AS high FROM spans
+  UNION ALL SELECT doc_id, 0, coalesce(min(low), 1000000000000) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, coalesce(string_agg(h[2 * low + 1:2 * high], '' ORDER BY low), '') AS k FROM d JOIN gaps USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST((len(h) - len(k)) // 2 AS BIGINT) AS n_removed,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
 ORACLES = {
     "op2_url_filter": URLS,
     "op4_benchmark_decontamination": BENCHMARK,
@@ -190,4 +213,5 @@ ORACLES = {
     "op10_ngram_jaccard_join": JACCARD,
     "op11_centroid_clustering": clustering(),
     "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_suffix_array_dedup": BYTES,
 }

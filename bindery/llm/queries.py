@@ -15,6 +15,7 @@ from bindery.llm import (
     secrets,
     sentencepiece_fst,
     stable_projections,
+    suffix_array_dedup,
     suffix_automata,
     token_files,
     url_filter,
@@ -73,6 +74,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return four_russians.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
@@ -86,4 +91,5 @@ QUERIES: dict[str, Query] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }

@@ -13,7 +13,7 @@ def con():
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(oracles.ORACLES) < set(queries.QUERIES) < set(contract.queries())
     assert "pipeline" in contract.queries()
 
