@@ -12,6 +12,7 @@ no window holds more than ``SPAN`` blocks or their groups.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,8 +21,9 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from bindery.llm.rows import written
 from bindery.session import scratch_path
@@ -38,37 +40,42 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
+PLACED = "file string, nth long, doc_id long"
+
+
 def write_token_files(docs: DataFrame, path: str, ranks: str = RANKS, separator: int = SEPARATOR) -> DataFrame:
-    """Write ``part-<n>-*`` files of ids, one per task; returns (file_no, nth, doc_id), what lies where.
-
-    Null texts are empty documents. Spark's text writer does the writing, so a
-    file appears only when its task commits: a row's bytes are its ids, and the
-    line separator is the separator id. Tokens are not shuffled; rows keep the
-    order in which ``docs`` is read. The places are read from ``docs`` once more,
-    so it must be a table that gives the same rows in the same splits again, as
-    files do.
+    """Write ``part-<n>-<attempt>`` files of ids below ``path``; returns (file, nth, doc_id), what lies where.
+
+    Null texts are empty documents. The task that writes a file also gives out its
+    places, so both come from the same rows whatever the splits are. A file has a
+    name of its own per attempt: what a lost task left behind has no places and is
+    no token file. Tokens are not shuffled. ``path`` must be of a kind that
+    ``pyarrow.fs`` opens, and be reachable from the executors.
     """
     spark = docs.sparkSession
     with open(ranks, "rb") as file:
         shared = spark.sparkContext.broadcast(file.read())  # one vocabulary file
+    end = separator.to_bytes(2, "little")
 
-    @F.pandas_udf(BinaryType())
-    def ids(texts: pd.Series) -> pd.Series:
-        coder = encoding(shared.value)
-        return pd.Series([np.array(coder.encode_ordinary(t or ""), "<u2").tobytes() for t in texts], index=texts.index)
-
-    (
-        docs.select(ids("text").cast("string").alias("value"))
-        .write.option("encoding", "ISO-8859-1")
-        .option("lineSep", separator.to_bytes(2, "little").decode("latin-1"))
-        .text(path)
-    )
-    place = F.monotonically_increasing_id()
-    return docs.select("doc_id", place.alias("place")).select(
-        F.shiftright("place", 33).cast("int").alias("file_no"),
-        F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"),
-        "doc_id",
-    )
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, out, nth = encoding(shared.value), None, 0
+        system, folder = file_system(path)
+        name = f"part-{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
+        for batch in batches:
+            if batch.num_rows and out is None:
+                system.create_dir(folder)
+                out = system.open_output_stream(f"{folder}/{name}")
+            for text in batch.column("text"):
+                out.write(np.array(coder.encode_ordinary(text.as_py() or ""), "<u2").tobytes() + end)
+            places = pa.array(np.arange(nth, nth + batch.num_rows))
+            nth += batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * batch.num_rows, pa.string()), places, batch.column("doc_id")], names=["file", "nth", "doc_id"]
+            )
+        if out is not None:
+            out.close()
+
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, PLACED), "token-places")
 
 
 SCANNED = (
@@ -81,9 +88,12 @@ SCANNED = (
 )
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
 def open_file(path: str) -> pa.NativeFile:
-    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    system, name = pa.fs.FileSystem.from_uri(uri)
+    system, name = file_system(path)
     return system.open_input_file(name)
 
 
@@ -105,16 +115,21 @@ def scanner(separator: int, block: int):
     return scan
 
 
-def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
+def count_tokens(
+    spark: SparkSession, path: str, separator: int = SEPARATOR, block: int = BLOCK, only: DataFrame | None = None
+) -> DataFrame:
     """(path, nth, n_tokens, ended) of every document in the token files below ``path``.
 
     ``nth`` counts from 0 in each file. Ids after the last separator are a
     document with ``ended`` false; two separators in a row enclose an empty one.
     Files without ids give nothing; an odd last byte is no id. ``block`` does not
-    change results. Files must be reachable by their URI from the executors.
+    change results. Files must be reachable by their URI from the executors. ``only``
+    (file) names the files to scan; without it all ``part-*`` are.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     files = files.select("path", F.floor(F.col("length") / 2).alias("ids")).filter("ids > 0")
+    if only is not None:
+        files = files.join(only, F.substring_index("path", "/", -1) == only["file"], "left_semi")
     blocks = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("ids") - 1) / block))).alias("block"))
     tasks = max(1, min(blocks.count(), 100_000))
     scanned = written(blocks.repartition(tasks, "path", "block").mapInPandas(scanner(separator, block), SCANNED), "scanned")
@@ -168,10 +183,16 @@ def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, blo
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Write ``docs`` as token files, scan them, and name each count's document."""
+    """Write ``docs`` as token files, scan them, and name each count's document.
+
+    Rows with equal or null ids are documents of their own. An empty table gives no
+    rows; extra columns are ignored.
+    """
     spark = docs.sparkSession
     path = scratch_path(spark, "token-files")
     placed = write_token_files(docs, path)
-    file_no = F.regexp_extract("path", r"/part-(\d+)-[^/]*$", 1).cast("int")
-    counts = count_tokens(spark, path).select(file_no.alias("file_no"), "nth", "n_tokens", "ended")
-    return placed.join(counts, ["file_no", "nth"], "full").select("doc_id", "file_no", "nth", "n_tokens", "ended")
+    counts = count_tokens(spark, path, only=placed.select("file").distinct()).select(
+        F.substring_index("path", "/", -1).alias("file"), "nth", "n_tokens", "ended"
+    )
+    file_no = F.regexp_extract("file", r"^part-(\d+)-", 1).cast("int")
+    return placed.join(counts, ["file", "nth"], "full").select("doc_id", file_no.alias("file_no"), "nth", "n_tokens", "ended")

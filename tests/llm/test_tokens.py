@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from cases import awkward_texts, documents
 
@@ -49,6 +51,37 @@ def test_counts_of_documents(spark, tmp_path):
     assert all(r.ended for r in got)
 
 
+def test_places_hold_when_the_splits_change(spark, tmp_path):
+    path = str(tmp_path / "docs.parquet")
+    texts = pa.table({"doc_id": list(range(4000)), "text": ["word " * (i % 37) for i in range(4000)]})
+    pq.write_table(texts, path, row_group_size=100)
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in zip(names, ("4", "64m", "1")):
+            spark.conf.set(n, v)
+        out = tf.digest(spark.read.parquet(path))
+        for n, v in zip(names, ("16", "4k", "1")):
+            spark.conf.set(n, v)
+        got = {r.doc_id: r.n_tokens for r in out.collect()}
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    with open(tf.RANKS, "rb") as file:
+        coder = tf.encoding(file.read())
+    assert got == {i: len(coder.encode_ordinary(t)) for i, t in enumerate(texts.column("text").to_pylist())}
+
+
+def test_files_without_places_are_not_scanned(spark):
+    path = scratch_path(spark, "token-files")
+    placed = tf.write_token_files(documents(spark, [(1, "a b c")]), path)
+    system, folder = tf.file_system(path)
+    with system.open_output_stream(f"{folder}/part-0-left-behind") as file:
+        file.write(b"\x01\x00" * 9)
+    counts = tf.count_tokens(spark, path, only=placed.select("file").distinct())
+    assert [r.ended for r in counts.collect()] == [True]
+
+
 def test_empty(spark):
     assert tf.digest(documents(spark, [(1, "a")]).limit(0)).collect() == []
     path = scratch_path(spark, "token-files")
