@@ -8,12 +8,14 @@ windows have equal anchors. Neighbouring windows of one anchor form a segment.
 1. Anchors that occur once drop out, and with them most text. Equal segments of
    an anchor become one, at the earliest place; at its other places all its windows
    start earlier elsewhere.
-2. The segments of an anchor, each once, are put together to one string, and the
+2. Where an anchor has several segments, or is twice in one, these are trimmed to
+   the windows whose hash is there again and put together to one string, and the
    suffixes of all strings of a shard are sorted (``lyndon_groups``). Neighbours
    that agree in ``WINDOW`` bytes are one window; all but its earliest place go.
-3. An anchor of more than ``HOT_BYTES`` is trimmed before to the windows that occur
-   several times in it, an aggregation that Spark combines before it shuffles, and
-   cut by the windows' hashes into parts, so no string grows with a hot passage.
+   The windows of any other segment are all different, so there is nothing to sort.
+3. An anchor of more than ``HOT_BYTES`` is trimmed before by an aggregation that Spark
+   combines before it shuffles, and cut by the windows' hashes into parts of
+   ``PART_WINDOWS`` at most, so no string grows with a hot passage.
 
 Texts are hashed twice, for the anchors' counts and for the segments of those that
 are left, as both passes are cheaper than a table of all segments.
@@ -36,7 +38,7 @@ from bindery.llm.suffix_automata import BASE, INVERSE, mixed, sliding_least
 
 WINDOW, GRAM = 100, 24
 LONGEST, PORTION, PLACE_BITS = 1000, 1 << 19, 20
-SHARD_BYTES, HOT_BYTES, OUT_ROWS = 1_500_000, 8_000, 5_000
+SHARD_BYTES, HOT_BYTES, PART_WINDOWS, OUT_ROWS = 1_500_000, 8_000, 4_000, 5_000
 VALUES = np.random.default_rng(13).integers(0, 2**64, 256, dtype=np.uint64)
 DOC = ["no_id", "doc_id", "row_key"]
 DOC_TYPE = "no_id boolean, doc_id long, row_key long"
@@ -53,7 +55,7 @@ class Hashes:
     """Hashes of any runs of bytes, by prefix sums modulo 2^64."""
 
     def __init__(self, data: np.ndarray):
-        most = PORTION + WINDOW
+        most = 1 << len(data).bit_length()
         self.back = powers(INVERSE, most)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(VALUES[data] * powers(BASE, most)[: len(data)], out=self.sums[1:])
@@ -112,7 +114,7 @@ def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, first, n, anchor, segment, _ in segments(*text_bytes(batch.column("text"))):
+        for text, first, n, anchor, segment, twice in segments(*text_bytes(batch.column("text"))):
             rows = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -121,8 +123,9 @@ def list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     pa.array(segment.view(np.int64)),
                     pa.array(first),
                     pa.array(n.astype(np.int32)),
+                    pa.array(twice),
                 ],
-                names=[*DOC, "anchor", "segment", "first", "n"],
+                names=[*DOC, "anchor", "segment", "first", "n", "twice"],
             )
 
 
@@ -192,27 +195,46 @@ def sort_shard(pieces: pd.DataFrame) -> pd.DataFrame:
     data = np.frombuffer(b"".join(pieces["piece"]), np.uint8)
     sizes = pieces["piece"].map(len).to_numpy(np.int64)
     begin = np.cumsum(sizes) - sizes
-    string = heads(pieces["anchor"].to_numpy(), pieces["part"].to_numpy())
-    sorted_ = suffix_arrays(data, np.append(begin[string], len(data)))
-
-    # Windows in order, the piece of each, and its place in the order of documents.
     owner = np.repeat(np.arange(len(sizes)), sizes)
+    string = np.zeros(len(sizes), np.int64)
+    string[heads(pieces["anchor"].to_numpy(), pieces["part"].to_numpy())[1:]] = 1
+    string = np.cumsum(string)
+
+    # Trim to the windows whose hash is in the string again; runs of these are what is sorted.
+    window = np.flatnonzero(np.arange(len(data)) <= (begin + sizes - WINDOW)[owner])
+    key = mixed(Hashes(data).every(WINDOW)[window] ^ mixed(string[owner[window]].astype(np.uint64)))
+    order = np.argsort(key)
+    equal = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    again = np.zeros(len(window), bool)
+    again[order[equal]] = again[order[equal + 1]] = True
+    window = window[again]
+    if not len(window):
+        return pieces.iloc[:0][DOC].assign(start=np.zeros(0, np.int64), length=np.zeros(0, np.int64))
+    at = heads(window - np.arange(len(window)), owner[window])
+    start, sizes = window[at], np.diff(at, append=len(window)) + WINDOW - 1
+    piece = owner[start]
+    first = pieces["first"].to_numpy(np.int64)[piece] + start - begin[piece]
+    data = data[ranges(start, sizes)]
+    begin, string = np.cumsum(sizes) - sizes, string[piece]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    sorted_ = suffix_arrays(data, np.append(begin[heads(string)], len(data)))
+
+    # Windows in order, and the place of each in the order of documents.
     sorted_ = sorted_[sorted_ <= (begin + sizes - WINDOW)[owner[sorted_]]]
-    belongs = np.repeat(np.arange(len(string)), np.diff(string, append=len(sizes)))[owner[sorted_]]
-    documents = pieces.groupby(DOC, sort=True, dropna=False).ngroup().to_numpy(np.int64)
-    place = (documents << 33) + pieces["first"].to_numpy(np.int64) - begin
-    place = place[owner[sorted_]] + sorted_
+    run = owner[sorted_]
+    documents = pieces.groupby(DOC, sort=True, dropna=False).ngroup().to_numpy(np.int64)[piece]
+    place = ((documents << 33) + first - begin)[run] + sorted_
     new = np.ones(len(sorted_), bool)
-    new[1:] = (belongs[1:] != belongs[:-1]) | ~agree(data, sorted_[1:], sorted_[:-1])
+    new[1:] = (string[run[1:]] != string[run[:-1]]) | ~agree(data, sorted_[1:], sorted_[:-1])
     at = np.flatnonzero(new)
     earliest = np.repeat(np.minimum.reduceat(place, at), np.diff(at, append=len(new)))
     gone = np.sort(sorted_[place > earliest])
 
     at = heads(gone - np.arange(len(gone)), owner[gone]) if len(gone) else gone
-    rows, n = owner[gone[at]], np.diff(at, append=len(gone))
-    out = pieces.iloc[rows][DOC].reset_index(drop=True)
-    out["start"] = pieces["first"].to_numpy()[rows] + gone[at] - begin[rows]
-    out["length"] = n + WINDOW - 1
+    rows = owner[gone[at]]
+    out = pieces.iloc[piece[rows]][DOC].reset_index(drop=True)
+    out["start"] = first[rows] + gone[at] - begin[rows]
+    out["length"] = np.diff(at, append=len(gone)) + WINDOW - 1
     return out
 
 
@@ -220,12 +242,11 @@ def trimmed(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hot anchors' pieces cut to the windows that repeat: (anchor, part, place, piece) once each, and what goes."""
     windows = written(hot.select("anchor", "segment", "piece").mapInArrow(list_windows, "anchor long, segment long, i int, window long"), "windows")
     common = windows.groupBy("anchor", "window").count().filter("count > 1").drop("count")
-    parts = common.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) * WINDOW / HOT_BYTES).alias("parts"))
+    parts = common.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / PART_WINDOWS).alias("parts"))
+    common = common.join(parts, "anchor").select("anchor", "window", F.pmod("window", "parts").cast("long").alias("part"))
     order = Window.partitionBy("anchor", "segment", "part").orderBy("i")
     spans = (
         windows.join(common, ["anchor", "window"])
-        .join(parts, "anchor")
-        .withColumn("part", F.pmod("window", F.col("parts")).cast("long"))
         .withColumn("run", F.col("i") - F.row_number().over(order))
         .groupBy("anchor", "segment", "part", "run")
         .agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n"))
@@ -249,12 +270,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     ).filter(F.col("text").isNotNull())
     anchors = texts.select("text").mapInArrow(list_anchors, "anchor long, times long")
     shared = anchors.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor")
-    listed = texts.mapInArrow(list_segments, f"{DOC_TYPE}, anchor long, segment long, first long, n int")
+    listed = texts.mapInArrow(list_segments, f"{DOC_TYPE}, anchor long, segment long, first long, n int, twice boolean")
     found = written(listed.join(shared, "anchor", "left_semi"), "segments")
 
     place = F.struct(*DOC, "first")
     owned = written(
-        found.withColumn("place", place).groupBy("anchor", "segment").agg(F.min("place").alias("place"), F.min("n").alias("n")),
+        found.withColumn("place", place).groupBy("anchor", "segment").agg(F.min("place").alias("place"), F.min("n").alias("n"), F.max("twice").alias("twice")),
         "owned",
     )
     whole = (
@@ -265,7 +286,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     )
 
     size = (F.col("n") + F.lit(WINDOW - 1)).cast("long")
-    sizes = owned.groupBy("anchor").agg(F.sum(size).alias("bytes"))
+    sizes = (
+        owned.groupBy("anchor")
+        .agg(F.sum(size).alias("bytes"), (F.count(F.lit(1)) > 1).alias("several"), F.max("twice").alias("again"))
+        .filter("several or again")
+        .select("anchor", "bytes")
+    )
     asked = (
         owned.join(sizes, "anchor")
         .groupBy(*[F.col("place")[c].alias(c) for c in DOC])

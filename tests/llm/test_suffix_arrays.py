@@ -65,6 +65,7 @@ def test_small_portions_and_hot_anchors_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(sd, "LONGEST", 40)
     monkeypatch.setattr(sd, "SHARD_BYTES", 4000)
     monkeypatch.setattr(sd, "HOT_BYTES", 400)
+    monkeypatch.setattr(sd, "PART_WINDOWS", 30)
     check(spark, overlapping(2, 40))
 
 
