@@ -92,9 +92,9 @@ def skew_safe_lookup(
     """Left join ``rows`` to a table keyed by ``on`` when few keys own most rows.
 
     ``weight`` is the number of rows a key of ``table`` is looked up by. The
-    ``HOT_KEYS`` heaviest keys (a fixed count, so a bounded broadcast) are
-    answered by broadcast; their rows then take a salted key so the shuffle
-    join for all other keys stays even.
+    ``HOT_KEYS`` heaviest keys are answered by a join of their own, which Spark's size
+    check broadcasts; their rows then take a salted key so the shuffle join for
+    all other keys stays even.
     """
     on, values = list(on), list(values)
     heavy = (
@@ -109,7 +109,7 @@ def skew_safe_lookup(
         F.pmod(F.hash(*spread_by), F.lit(SALTS)) + 1
     )
     joined = (
-        rows.join(F.broadcast(heavy), on, "left")
+        rows.join(heavy, on, "left")
         .withColumn("_salt", salt)
         .join(rest, [*on, "_salt"], "left")
     )

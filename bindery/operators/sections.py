@@ -3,7 +3,8 @@
 A section row is ``(bundle, part, key, section, chars, lines)``. Ordering by
 (part, key) within a bundle and ending every section with a newline gives the
 bundle's text; the XML text alone has no newline after its last line. ``chars``
-and ``lines`` count that newline, so totals need not read the sections.
+and ``lines`` count that newline, so totals need not read the sections. The index of
+an XML body is put in where its place is known (``placement``) and not counted here.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bindery.functions import paths, tokens
 from bindery.functions.text import SPACE, newlines, title, xml_escape
 from bindery.operators.ordering import number_rows
+from bindery.operators.placement import SLOT_CHARS, index_digits, placed
 from bindery.operators.tree import tree_lines
 from bindery.options import Options
 
@@ -116,9 +118,12 @@ def _standard_body() -> Column:
     )
 
 
-def _xml_body(index: Column) -> Column:
+_XML_OPEN = "    <document index='"
+
+
+def _xml_body() -> Column:
     return _text(
-        F.concat(F.lit("    <document index='"), index, F.lit("'>")),
+        f"{_XML_OPEN}'>",
         F.concat(F.lit("      <source>"), F.col("display_path"), F.lit("</source>")),
         "      <document_content>",
         xml_escape(F.col("text")),
@@ -127,6 +132,11 @@ def _xml_body(index: Column) -> Column:
     )
 
 
+def with_index(section: Column | str, index: Column) -> Column:
+    """An XML body with its document index."""
+    return F.overlay(section, index.cast("string"), F.lit(len(_XML_OPEN) + 1), F.lit(0))
+
+
 def _markdown_body() -> Column:
     path = F.col("display_path")
     fence = tokens.lookup_literal(paths.suffix(path), FENCE_BY_SUFFIX, "")
@@ -203,35 +213,27 @@ def section_heads(
     return _rows(meta, HEAD, F.concat(prefix, head))
 
 
-def _body(output_format: str, index: Column) -> Column:
+def _body(output_format: str) -> Column:
     if output_format == "xml":
-        return _xml_body(index)
+        return _xml_body()
     return _markdown_body() if output_format == "markdown" else _standard_body()
 
 
 def measure(files: DataFrame, options: Options) -> DataFrame:
-    """Add ``body_chars`` and ``body_lines`` while the text is at hand.
-
-    The digits of the XML index are left out; they are added once known.
-    """
-    body = _body(options.output_format, F.lit(""))
+    """Add ``body_chars`` and ``body_lines`` while the text is at hand."""
+    body = _body(options.output_format)
     return files.withColumn("body_chars", _chars(body)).withColumn("body_lines", _lines(body))
 
 
 def section_bodies(files: DataFrame, options: Options) -> DataFrame:
-    """One section per readable file. Only XML prints the index, so only XML numbers."""
+    """One section per readable file."""
     measured = "body_chars" in files.columns
-    files = files.filter(F.col("read_error").isNull())
-    index = F.lit("")
-    if options.output_format == "xml":
-        files = files.join(doc_index(files), ["bundle", "rel_path"])
-        index = F.col("doc_index").cast("string")
     return _rows(
-        files,
+        files.filter(F.col("read_error").isNull()),
         BODY,
-        _body(options.output_format, index),
+        _body(options.output_format),
         paths.components(F.col("rel_path")),
-        F.col("body_chars") + F.length(index) if measured else None,
+        F.col("body_chars") if measured else None,
         F.col("body_lines") if measured else None,
     )
 
@@ -259,33 +261,50 @@ def render(
     return out
 
 
-def number_sections(sections: DataFrame) -> DataFrame:
-    """``(bundle, ordinal, section)``; the numbering itself moves keys only."""
-    numbered = number_rows(sections.select("bundle", "part", "key"), ["bundle"], ["part", "key"])
-    return sections.join(numbered, ["bundle", "part", "key"]).select(
-        "bundle", F.col("row_no").alias("ordinal"), "section"
-    )
+def text_chars(output_format: str) -> Column:
+    """The length of a bundle's text, as an aggregate over its sections."""
+    if output_format != "xml":
+        return F.sum("chars")
+    return F.sum("chars") - 1 + index_digits(F.count_if(F.col("part") == BODY))
+
+
+def in_order(
+    sections: DataFrame,
+    output_format: str,
+    max_chars: int = SLOT_CHARS,
+    sources: DataFrame | None = None,
+    task_per_slot: bool = False,
+) -> DataFrame:
+    """Sections with ``slot`` and ``position``, XML bodies with their index."""
+    xml = output_format == "xml"
+    out = placed(sections, max_chars, sources, xml, task_per_slot)
+    if xml:
+        body = F.col("part") == BODY
+        out = out.withColumn("section", F.when(body, with_index("section", F.col("index"))).otherwise(F.col("section")))
+    return out.drop("index")
+
+
+def number_sections(sections: DataFrame, output_format: str = "standard", max_chars: int = SLOT_CHARS) -> DataFrame:
+    """``(bundle, ordinal, section)`` in the order of the text."""
+    return in_order(sections, output_format, max_chars).select("bundle", F.col("position").alias("ordinal"), "section")
 
 
 def all_bundles(
-    sections: DataFrame, output_format: str = "standard", sources: DataFrame | None = None
+    sections: DataFrame,
+    output_format: str = "standard",
+    sources: DataFrame | None = None,
+    max_chars: int = SLOT_CHARS,
 ) -> DataFrame:
     """Every bundle one after the other, a gap of two newlines after each.
 
     ``sources`` (bundle, source_ord) gives the order; without it names do.
     """
     gap = "" if output_format == "xml" else "\n"
-    gaps = _rows(sections.select("bundle").distinct(), GAP, F.lit(gap))
-    rows = sections.unionByName(gaps)
-    order = ["bundle", "part", "key"]
-    keys = rows.select(*order)
-    if sources is not None:
-        keys = keys.join(sources.select("bundle", "source_ord"), "bundle")
-        order = ["source_ord", *order]
-    numbered = number_rows(keys, [], order)
-    return rows.join(numbered, ["bundle", "part", "key"]).select(
-        F.col("row_no").alias("position"), "bundle", "section"
-    )
+    bundles = sections.select("bundle").distinct()
+    rows = sections.unionByName(_rows(bundles, GAP, F.lit(gap)))
+    if sources is None:
+        sources = bundles.withColumn("source_ord", F.lit(0))
+    return in_order(rows, output_format, max_chars, sources).select("position", "bundle", "section")
 
 
 def bundle_text(
@@ -296,22 +315,12 @@ def bundle_text(
     A bundle under ``max_chars`` is one chunk, its whole text. A larger one is
     cut between sections, so no task holds more than a chunk and one section.
     """
-    keys = sections.select("bundle", "part", "key", "chars")
-    placed = number_rows(keys, ["bundle"], ["part", "key"], ["chars"]).select(
-        "bundle",
-        "part",
-        "key",
-        F.col("row_no").alias("ordinal"),
-        F.expr(f"chars_before div {max_chars}").alias("chunk"),
-        (F.col("row_no") == F.col("group_rows")).alias("is_last"),
-    )
     newline = F.lit("\n")
     if output_format == "xml":
-        newline = F.when(F.col("is_last"), "").otherwise("\n")
-    rows = sections.join(placed, ["bundle", "part", "key"]).select(
-        "bundle", "chunk", "ordinal", F.concat("section", newline).alias("piece")
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("ordinal", "piece")))
-    return rows.groupBy("bundle", "chunk").agg(
-        F.array_join(F.transform(ordered, lambda s: s["piece"]), "").alias("text")
+        newline = F.when(F.col("part") == TAIL, "").otherwise("\n")
+    rows = in_order(sections, output_format, max_chars).select(
+        "bundle", "slot", F.struct("position", F.concat("section", newline).alias("piece")).alias("row")
     )
+    return rows.groupBy("bundle", "slot").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("row")), lambda s: s["piece"]), "").alias("text")
+    ).withColumnRenamed("slot", "chunk")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions import paths, tokens
+from bindery.operators.sections import text_chars
 
 
 def _type(path: Column) -> Column:
@@ -42,7 +43,7 @@ def text_totals(sections: DataFrame, output_format: str = "standard") -> DataFra
     return (
         sections.groupBy("bundle")
         .agg(
-            (F.sum("chars") - open_end).alias("character_count"),
+            text_chars(output_format).alias("character_count"),
             (F.sum("lines") + 1 - open_end).alias("line_count"),
         )
         .withColumn("token_count", tokens.estimate(F.col("character_count")))

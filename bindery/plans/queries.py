@@ -377,7 +377,7 @@ def _sections(output_format: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         options = Options(as_of=RUN.as_of, output_format=output_format)
         rows = sections.render(prepared_files(spark, sf_dir, options), options)
-        return sections.number_sections(rows)
+        return sections.number_sections(rows, output_format)
 
     return query
 
@@ -589,30 +589,29 @@ def read_files_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the bundles and read the files back, line by line in file order.
+    """Write the bundles in files of 200,000 characters and read these back, line by line in order.
 
     ``line_order`` adds up each line's hash times its place, so lines out of
-    order show. A place is the line's own in its part plus the earlier parts' lines.
+    order show. A place is the line's own in its file plus the earlier files' lines.
     """
     rows = sections.render(prepared_files(spark, sf_dir), RUN)
     path = scratch_path(spark, "bundles")
-    sinks.write_bundles(rows, path, RUN)
+    sinks.write_bundles(rows, path, RUN, max_chars=200_000)
     name = F.col("_metadata")["file_name"]
-    parts = spark.read.text(path, wholetext=True).select("bundle_file", name.alias("file"), "value")
-    sized = parts.select("bundle_file", "file", tx.newlines(F.col("value")).alias("n"))
+    files = spark.read.text(path, wholetext=True).select("bundle_file", name.alias("file"), "value")
+    sized = files.select("bundle_file", "file", tx.newlines(F.col("value")).alias("n"))
     placed = sections.number_rows(sized, ["bundle_file"], ["file"], ["n"]).select("bundle_file", "file", "n_before")
-    line = F.posexplode(F.split("value", "\n")).alias("at", "line")
-    lines = parts.join(placed, ["bundle_file", "file"]).select(
-        "bundle_file", "n_before", tx.newlines(F.col("value")).alias("n"), line
-    )
+    parts = F.split("value", "\n")
+    lines = files.select("bundle_file", "file", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("at", "line"))
     digest = F.conv(F.substring(F.md5(F.col("line").cast("binary")), 1, 7), 16, 10).cast("bigint")
     return (
-        lines.filter("at < n")
+        lines.select("bundle_file", "file", "at", F.length("line").alias("chars"), digest.alias("digest"))
+        .join(placed, ["bundle_file", "file"])
         .groupBy("bundle_file")
         .agg(
-            F.sum(F.length("line").cast("bigint") + 1).alias("chars"),
+            F.sum(F.col("chars").cast("bigint") + 1).alias("chars"),
             F.count(F.lit(1)).alias("newlines"),
-            F.sum(digest * (F.col("n_before") + F.col("at") + 1) % 1_000_003).alias("line_order"),
+            F.sum(F.col("digest") * (F.col("n_before") + F.col("at") + 1) % 1_000_003).alias("line_order"),
         )
     )
 

@@ -207,6 +207,13 @@ class Run:
     def skips(self) -> DataFrame:
         return filters.skip_counts(self.classified)
 
+    @classmethod
+    def over(
+        cls, spark: SparkSession, sources: Sequence[Source], options: Options, prompts: DataFrame | None = None
+    ) -> Run:
+        """A run over folders: every one of ``sources`` is reported, also one without a file."""
+        return cls(collect(spark, sources, options), options, prompts, folders.source_table(spark, sources))
+
     def write(self, path: str) -> None:
         """Bundles below ``bundles`` and the run report below ``report``."""
         sinks.write_bundles(self.sections, f"{path}/bundles", self.options)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from bindery.operators.sections import in_order
 from bindery.options import Options
 
+FILE_CHARS = 1 << 27
 STORE = (
     "profiles map<string, map<string, string>>, prompt_templates map<string, string>, "
     "exported_at string, version string"
@@ -17,19 +19,22 @@ def file_stamp(as_of: str):
     return F.date_format(F.lit(as_of).cast("timestamp"), "yyyyMMdd_HHmmss")
 
 
-def write_bundles(sections: DataFrame, path: str, options: Options) -> None:
+def write_bundles(
+    sections: DataFrame, path: str, options: Options, max_chars: int = FILE_CHARS
+) -> None:
     """Write each bundle in order under ``bundle_file=<bundle>_<stamp>.txt``.
 
-    One range shuffle on (bundle, part, key): a large bundle becomes several
-    part files whose names follow the order, a small one is a single file.
-    Every section ends with the newline the writer puts after each row.
+    The text of all bundles, one after the other, is cut where ``max_chars`` are
+    passed, and each task writes one such slot: the names of a bundle's part files
+    follow its text. One shuffle deals the sections to the tasks. Every section ends
+    with the newline the writer puts after each row.
     """
     name = F.concat("bundle", F.lit("_"), file_stamp(options.as_of), F.lit(".txt"))
-    order = ["bundle_file", "part", "key"]
+    by_name = sections.select("bundle").distinct().withColumn("source_ord", F.lit(0))
     (
-        sections.withColumn("bundle_file", name)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        in_order(sections, options.output_format, max_chars, by_name, task_per_slot=True)
+        .select(name.alias("bundle_file"), "position", "section")
+        .sortWithinPartitions("bundle_file", "position")
         .select("bundle_file", "section")
         .write.partitionBy("bundle_file")
         .text(path)

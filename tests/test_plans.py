@@ -51,3 +51,40 @@ def test_filter_after_all_text_stages_stays_small(spark):
     files = q.documents(spark, SF)
     done = runs.prepare(files, q.Options(minify=True, names=("a", "b", "c")))
     assert len(plan_of(done.filter("text is not null and length(text) > 3"))) < 400_000
+
+
+def text_exchanges(plan):
+    """Shuffles that carry a section or a text, in the plan before it runs."""
+    tree = plan.split("== Initial Plan ==")[-1].splitlines()
+    exchanges = [i for i, line in enumerate(tree) if re.search(r"\bExchange (hash|range|Shuffle|round|single)", line)]
+
+    def carries(i):
+        below = tree[i + 1] if i + 1 < len(tree) else ""
+        return re.search(r"\b(section|text|piece|row)#", below) is not None
+
+    return sum(map(carries, exchanges))
+
+
+@pytest.mark.parametrize("name", ["sections_standard", "sections_xml", "bundle_text", "bundle_text_chunks", "all_bundles"])
+def test_the_text_moves_once(spark, name):
+    assert text_exchanges(plan_of(q.QUERIES[name](spark, SF))) == 1
+
+
+def test_slots_beyond_the_broadcast_bound(spark, monkeypatch):
+    from bindery.operators import placement
+
+    def rows():
+        return sorted(map(tuple, q.sections_xml(spark, SF).collect()))
+
+    want = rows()
+    monkeypatch.setattr(placement, "BROADCAST_STARTS", -1)
+    assert rows() == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 99, 100, 12345])
+def test_digits_of_an_index(spark, n):
+    from bindery.operators.placement import index_digits
+    from pyspark.sql import functions as F
+
+    got = spark.range(1).select(index_digits(F.lit(n)).alias("d")).first().d
+    assert got == sum(len(str(i)) for i in range(1, n + 1))
