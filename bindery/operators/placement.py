@@ -4,7 +4,7 @@ Numbers come from narrow rows: (bundle, part, key, chars) are numbered and summe
 up, and where a bundle passes ``max_chars`` a new slot starts. A slot is a chunk of
 text or a file. Its first key is all a section needs to find it: the starts of a
 bundle's slots are one sorted array, searched by halving. So the text is dealt by
-(bundle, slot) in one shuffle and numbered inside its slot.
+(bundle, slot) in one shuffle and numbered inside its slot, or where a task holds one slot, by their order in the task.
 """
 
 from __future__ import annotations
@@ -41,10 +41,6 @@ def _numbered(sections: DataFrame, numbered_chars: bool, max_chars: int, sources
     return numbered.select("bundle", "part", "key", "row_no", F.floor(before / F.lit(max_chars)).cast("bigint").alias("slot"))
 
 
-def _slots(starts: DataFrame) -> int:
-    return (starts.agg(F.max("slot")).first()[0] or 0) + 1
-
-
 def placed(
     sections: DataFrame,
     max_chars: int = SLOT_CHARS,
@@ -64,10 +60,15 @@ def placed(
     numbered = _numbered(sections, numbered_chars, max_chars, sources)
     first = F.min(F.struct("part", "key")).alias("first")
     starts = durable(numbered.groupBy("bundle", "slot").agg(first, F.min("row_no").alias("row_no")))
+    if task_per_slot:  # counted from the first row of the whole slot, not of a bundle in it
+        starts = starts.withColumn("counted_from", F.min("row_no").over(Window.partitionBy("slot")))
+    else:
+        starts = starts.withColumn("counted_from", F.col("row_no"))
     found = starts.count()
     opened = starts.groupBy(F.col("bundle").alias("_bundle")).agg(
-        F.min("row_no").alias("_opens"), F.sort_array(F.collect_list(F.struct("first", "slot", "row_no"))).alias("_starts")
+        F.min("row_no").alias("_opens"), F.sort_array(F.collect_list(F.struct("first", "slot", "counted_from"))).alias("_starts")
     )
+    slots = (starts.agg(F.max("slot")).first()[0] or 0) + 1
     if found <= BROADCAST_STARTS:
         own = F.struct("part", "key")
         steps = F.array(*[F.lit(1 << k) for k in range(found.bit_length(), -1, -1)])
@@ -77,12 +78,15 @@ def placed(
         routed = (
             sections.join(F.broadcast(opened), F.col("bundle").eqNullSafe(F.col("_bundle")))
             .withColumn("_start", F.get("_starts", passed - 1))
-            .select(*sections.columns, "_opens", F.col("_start.slot").alias("slot"), F.col("_start.row_no").alias("_row_no"))
+            .select(*sections.columns, "_opens", F.col("_start.slot").alias("slot"), F.col("_start.counted_from").alias("_row_no"))
         )
         if task_per_slot:
-            routed = routed.repartitionById(_slots(starts), F.col("slot").cast("int"))
-        inside = Window.partitionBy("bundle", "slot").orderBy("part", "key")
-        out = routed.withColumn("position", F.col("_row_no") + F.row_number().over(inside) - 1).drop("_row_no")
+            in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+            dealt = routed.repartitionById(slots, F.col("slot").cast("int")).sortWithinPartitions("_opens", "part", "key")
+            out = dealt.withColumn("position", F.col("_row_no") + in_task).drop("_row_no")
+        else:
+            inside = Window.partitionBy("bundle", "slot").orderBy("part", "key")
+            out = routed.withColumn("position", F.col("_row_no") + F.row_number().over(inside) - 1).drop("_row_no")
     else:
         keys = numbered.select(*[F.col(c).alias(f"_{c}") for c in ("bundle", "part", "key")], "slot", F.col("row_no").alias("position"))
         same = F.col("bundle").eqNullSafe(F.col("_bundle")) & (F.col("part") == F.col("_part")) & (F.col("key") == F.col("_key"))
@@ -90,5 +94,5 @@ def placed(
         opens = opened.select(F.col("_bundle"), "_opens")
         out = joined.join(opens, F.col("bundle").eqNullSafe(F.col("_bundle"))).drop("_bundle")
         if task_per_slot:
-            out = out.repartitionById(_slots(starts), F.col("slot").cast("int"))
+            out = out.repartitionById(slots, F.col("slot").cast("int"))
     return out.withColumn("index", F.col("position") - F.col("_opens")).drop("_opens")

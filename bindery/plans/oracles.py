@@ -509,6 +509,18 @@ ORACLES: dict[str, str] = {
     "upsert_replace": f"WITH {STORE_SIDES} SELECT * FROM new",
     "store_roundtrip": f"""WITH {STORE_SIDES} SELECT * FROM old UNION ALL
       SELECT p_type, 'template', 'Parts:' || {NL} || '- ' || count(*) FROM part GROUP BY p_type""",
+    "store_typed": """WITH old AS (
+        SELECT 'profile-' || c_custkey AS name, unnest([
+          {'key': 'segment', 'value': '"' || c_mktsegment || '"'}, {'key': 'nation', 'value': c_nationkey::VARCHAR},
+          {'key': 'safe_mode', 'value': CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END},
+          {'key': 'extensions', 'value': '[".py","' || c_mktsegment || '"]'}, {'key': 'template', 'value': 'null'}]) AS s
+        FROM customer),
+      new AS (
+        SELECT 'profile-' || p_partkey * 3 AS name, unnest([
+          {'key': 'segment', 'value': '"' || p_type || '"'}, {'key': 'size', 'value': p_size::VARCHAR},
+          {'key': 'limits', 'value': '[' || p_size || ',' || p_partkey || ']'}]) AS s FROM part)
+      SELECT name, s.key AS key, s.value AS value FROM (
+        SELECT * FROM old WHERE name NOT IN (SELECT name FROM new) UNION ALL SELECT * FROM new)""",
     "read_files_decode": f"""WITH written AS (
         SELECT coalesce(lang, 'none') AS lang, (strlen(coalesce(text, '')) + 17)::BIGINT AS length,
           coalesce(text, '') || ' café' || {NL} || 'end' || {NL} AS t FROM documents)

@@ -556,6 +556,41 @@ def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _typed_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Settings of several types: stored ones from ``customer``, incoming ones from ``part`` at every third key."""
+
+    def settings(frame: DataFrame, name: Column, **values: Column) -> DataFrame:
+        pairs = [F.struct(F.lit(k).alias("key"), v.cast("variant").alias("value")) for k, v in values.items()]
+        return frame.select(F.concat(F.lit("profile-"), name).alias("name"), F.inline(F.array(*pairs)))
+
+    old = settings(
+        table(spark, sf_dir, "customer"),
+        F.col("c_custkey"),
+        segment=F.col("c_mktsegment"),
+        nation=F.col("c_nationkey").cast("bigint"),
+        safe_mode=F.col("c_custkey") % 2 == 0,
+        extensions=F.array(F.lit(".py"), F.col("c_mktsegment")),
+        template=F.parse_json(F.lit("null")),
+    )
+    new = settings(
+        table(spark, sf_dir, "part"),
+        F.col("p_partkey") * 3,
+        segment=F.col("p_type"),
+        size=F.col("p_size").cast("bigint"),
+        limits=F.array(F.col("p_size").cast("bigint"), F.col("p_partkey").cast("bigint")),
+    )
+    return old, new
+
+
+def store_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge settings of several types, export and import them; each value as JSON."""
+    path = scratch_path(spark, "store")
+    merged = upsert.upsert(*_typed_sides(spark, sf_dir), ["name"])
+    sinks.export_store(merged, spark.createDataFrame([], "name string, body string"), path, RUN.as_of)
+    back, _ = sinks.import_store(spark, path, typed=True)
+    return back.select("name", "key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"))
+
+
 SMALL_FILES = Options(extensions="txt", max_size_kb=4)
 
 
@@ -630,6 +665,6 @@ QUERIES: dict[str, Query] = {
         "prompt_templates", "bundle_text", "bundle_text_chunks", "all_bundles",
         "bundle_stats", "file_type_histogram", "run_totals", "report_lines",
         "code_symbols", "code_outline", "outline_reduction", "upsert_merge",
-        "upsert_replace", "store_roundtrip", "read_files_decode", "sink_roundtrip",
+        "upsert_replace", "store_roundtrip", "store_typed", "read_files_decode", "sink_roundtrip",
     )
 }

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bindery.operators.sections import in_order
 from bindery.options import Options
 
 FILE_CHARS = 1 << 27
 STORE = (
-    "profiles map<string, map<string, string>>, prompt_templates map<string, string>, "
+    "profiles map<string, map<string, {value}>>, prompt_templates map<string, string>, "
     "exported_at string, version string"
 )
 STORE_VERSION = "1.0"
@@ -45,27 +45,43 @@ def write_report(manifest: DataFrame, path: str) -> None:
     manifest.write.parquet(path)
 
 
+def _settings() -> Column:
+    """A profile's settings as a map in the order of their keys; values may be of a type without order."""
+    by_key = F.array_sort(
+        F.collect_list(F.struct("key", "value")),
+        lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
+    )
+    return F.map_from_entries(by_key)
+
+
 def export_store(
     profiles: DataFrame, templates: DataFrame, path: str, exported_at: str
 ) -> None:
     """Profiles ``(name, key, value)`` and templates ``(name, body)`` as JSON lines.
 
-    Each line holds one profile or template in the shape ``import_store`` reads.
+    Each line holds one profile or template in the shape ``import_store`` reads. A
+    value may be text or a VARIANT: numbers, booleans, lists, objects and null then
+    are written as such.
     """
-    settings = F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))
     stamp = [F.lit(exported_at).alias("exported_at"), F.lit(STORE_VERSION).alias("version")]
-    saved = profiles.groupBy("name").agg(settings.alias("settings")).select(
+    saved = profiles.groupBy("name").agg(_settings().alias("settings")).select(
         F.create_map("name", "settings").alias("profiles"), *stamp
     )
     bodies = templates.select(F.create_map("name", "body").alias("prompt_templates"), *stamp)
-    saved.unionByName(bodies, allowMissingColumns=True).write.json(path)
+    # Nulls are values here: a setting may be null.
+    lines = saved.unionByName(bodies, allowMissingColumns=True)
+    lines.write.option("ignoreNullFields", False).json(path)
 
 
 def import_store(
-    spark: SparkSession, path: str, multi_line: bool = False
+    spark: SparkSession, path: str, multi_line: bool = False, typed: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Read an export back; ``multi_line`` for one JSON document per file."""
-    store = spark.read.schema(STORE).option("multiLine", multi_line).json(path)
+    """Read an export back; ``multi_line`` for one JSON document per file.
+
+    Values come back as text, or with ``typed`` as VARIANT.
+    """
+    schema = STORE.format(value="variant" if typed else "string")
+    store = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     profiles = store.select(F.explode("profiles").alias("name", "settings")).select(
         "name", F.explode("settings").alias("key", "value")
     )

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,39 @@ def test_a_bad_rule_hurts_its_own_bundle_only(spark):
     assert {r.bundle for r in got} == {"y"} and len(got) == 4
     with pytest.raises(ValueError):
         ignore.ignored_by(F.col("rel_path"), ["[z-a]"])
+
+
+def random_rule(rng):
+    part = lambda: rng.choice(["a", "b", "ab", "*", "a*", "*.log", "*.a.b", "?b", "[ab]", "**", r"a\ b", r"\*", "x.log"])
+    rule = "/".join(part() for _ in range(rng.randint(1, 3)))
+    return rng.choice(["", "", "!"]) + rng.choice(["", "", "/"]) + rule + rng.choice(["", "", "/"])
+
+
+def test_the_index_agrees_with_single_rules(spark):
+    rng = random.Random(5)
+    names = ["a", "b", "ab", "x.log", "y.a.b", ".log", "a b", "*", "b.log", "cab"]
+    paths = sorted({"/".join(rng.choice(names) for _ in range(rng.randint(1, 4))) for _ in range(250)})
+    lines = {f"b{i}": [random_rule(rng) for _ in range(rng.randint(1, 6))] for i in range(12)}
+    files = spark.createDataFrame([(b, p, "wide") for b in lines for p in paths], "bundle string, rel_path string, ignored_before string")
+    rules = spark.createDataFrame([(b, n, r) for b, own in lines.items() for n, r in enumerate(own)], "bundle string, ord int, pattern string")
+    got = {(r.bundle, r.rel_path) for r in ignore.mark_ignored(files, rules).filter("ignored").collect()}
+    want = set()
+    for b, own in lines.items():
+        hits = files.filter(F.col("bundle") == b).filter(ignore.ignored_by(F.col("rel_path"), own))
+        want |= {(r.bundle, r.rel_path) for r in hits.collect()}
+    assert got == want and want
+    kinds = {ignore.shape(r)[0] for own in lines.values() for r in own}
+    assert kinds == {ignore.NAME, ignore.EXTENSION, ignore.PATH, ignore.PATTERN}
+
+
+def test_no_pattern_comes_from_a_column(spark):
+    files = spark.createDataFrame([("x", "a.log")], "bundle string, rel_path string")
+    rules = spark.createDataFrame([("x", 0, "*.log")], "bundle string, ord int, pattern string")
+    plan = ignore.mark_ignored(files, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp_like" not in plan.lower()
+
+
+def test_null_bundles_have_rules_too(spark):
+    files = spark.createDataFrame([(None, "a.log"), ("x", "a.log")], "bundle string, rel_path string")
+    rules = spark.createDataFrame([(None, 0, "*.log")], "bundle string, ord int, pattern string")
+    assert {r.bundle: r.ignored for r in ignore.mark_ignored(files, rules).collect()} == {None: True, "x": False}

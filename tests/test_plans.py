@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from bindery.plans import queries as q
 from bindery.plans import runs
@@ -88,3 +89,13 @@ def test_digits_of_an_index(spark, n):
 
     got = spark.range(1).select(index_digits(F.lit(n)).alias("d")).first().d
     assert got == sum(len(str(i)) for i in range(1, n + 1))
+
+
+def test_the_writer_moves_the_text_once(spark):
+    from bindery.operators import sections
+
+    rows = sections.render(q.prepared_files(spark, SF), q.RUN)
+    names = rows.select("bundle").distinct().withColumn("source_ord", F.lit(0))
+    plan = plan_of(sections.in_order(rows, "standard", 10_000, names, task_per_slot=True))
+    assert plan.count("REPARTITION_BY") == 1 and "rangepartitioning" not in plan
+    assert not re.search(r"Exchange hashpartitioning\(bundle#\d+, slot", plan)

@@ -353,3 +353,38 @@ def test_kept_and_skipped_add_up(spark, projects):
     assert classified.filter("skip_reason is null").count() + classified.filter(
         "skip_reason is not null"
     ).count() == 5
+
+
+def test_every_source_of_a_run_is_reported(spark, tmp_path):
+    """The documented use: one source with a text, one with only a binary suffix, one empty."""
+    put(tmp_path, {"full/a.txt": "one\n", "other/a.bin": "two\n"})
+    (tmp_path / "none").mkdir()
+    run = runs.Run.over(spark, [Source(f"{tmp_path}/{n}", n) for n in ("none", "full", "other")], Options(as_of=STAMP))
+    assert {r.bundle: r.status for r in run.manifest.collect()} == {
+        "full": runs.WRITTEN, "other": runs.EMPTY, "none": runs.EMPTY
+    }
+    assert sorted((r.progress, r.bundle) for r in run.budget.collect()) == [("1/3", "none"), ("2/3", "full"), ("3/3", "other")]
+    run.write(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out/report").glob("*.parquet"))) >= 1
+
+
+def test_a_large_bundle_is_several_files_in_order(spark, tmp_path):
+    options = Options(as_of=STAMP, output_format="xml")
+    rows = sections.render(small(spark), options)
+    sinks.write_bundles(rows, str(tmp_path / "out"), options, max_chars=150)
+    parts = sorted(next((tmp_path / "out").glob("bundle_file=*")).glob("part-*"))
+    assert len(parts) > 2
+    assert "".join(p.read_text() for p in parts) == text_of(rows, "xml") + "\n"
+
+
+def test_settings_keep_their_types(spark, tmp_path):
+    values = {"limit": 3, "rate": 2.5, "on": True, "off": None, "list": [1, "a", None, [False]], "text": "3", "map": {"k": [0]}}
+    rows = spark.createDataFrame([("P", k, json.dumps(v)) for k, v in values.items()], "name string, key string, value string")
+    typed = rows.withColumn("value", F.parse_json("value"))
+    none = spark.createDataFrame([], "name string, body string")
+    sinks.export_store(upsert.upsert(typed.limit(0), typed, ["name"]), none, str(tmp_path / "store"), STAMP)
+    lines = [json.loads(x) for p in (tmp_path / "store").glob("part-*") for x in p.read_text().splitlines()]
+    assert [x["profiles"] for x in lines] == [{"P": values}]
+    back, _ = sinks.import_store(spark, str(tmp_path / "store"), typed=True)
+    got = {r.key: json.loads(r.value) for r in back.select("key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value")).collect()}
+    assert got == values
