@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions.text import BORDER_AFTER, BORDER_BEFORE, SPACE, bind
+from bindery.operators.names import replace_names
 
 # Patterns and placeholders.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -23,6 +24,9 @@ EMAIL_MARK = "<EMAIL_ADDRESS>"
 KEY_MARK = "<REDACTED_API_KEY>"
 SECRET_MARK = "<REDACTED_SECRET>"
 
+#: More names than this are looked for in one pass; the result is the same.
+FEW_NAMES = 8
+
 # Characters beyond A-Z that fold to a letter of the words or of the value.
 _FOLDS = {"s": "\u017f", "k": "\u212a"}
 _VALUE_FOLDS = "\u017f\u212a\u0131\u0130"
@@ -94,8 +98,16 @@ def _stage(
 
 
 def redact_names(df: DataFrame, names: Sequence[str], column: str = "text") -> DataFrame:
-    """Replace each name, any case, by its numbered mark; adds ``_name_i``."""
-    for i, name in numbered_names(names):
+    """Replace each name, any case, by its numbered mark.
+
+    Adds ``_name_i`` for each name, or ``_names`` with the numbers of those found.
+    """
+    numbered = numbered_names(names)
+    if len(numbered) > FEW_NAMES:
+        listed = [name for _, name in numbered]
+        marks = [f"<USER_{i}>" for i, _ in numbered]
+        return replace_names(df, listed, [name_pattern(n) for n in listed], marks, column, "_names")
+    for i, name in numbered:
         pattern = name_pattern(name)
         df = _stage(
             df, column, f"_name_{i}", pattern, f"<USER_{i}>", lambda t, p=pattern: t.rlike(p)
@@ -154,8 +166,13 @@ def _finding(kind: str, n: Column, message: Column) -> Column:
 
 def findings(names: Sequence[str]) -> Column:
     """The redaction records of a text whose stages have run."""
-    records = []
-    for i, name in numbered_names(names):
+    records, named = [], []
+    numbered = numbered_names(names)
+    if len(numbered) > FEW_NAMES:
+        messages = F.array(*[F.lit(f"Replaced '{name}' with <USER_{i}>") for i, name in numbered])
+        named = [F.transform("_names", lambda i: _finding("name", F.lit(1), F.get(messages, i - 1)))]
+        numbered = []
+    for i, name in numbered:
         message = F.lit(f"Replaced '{name}' with <USER_{i}>")
         records.append(_finding("name", F.col(f"_name_{i}"), message))
     emails = F.concat(F.lit("Redacted "), F.col("_emails"), F.lit(" email address(es)"))
@@ -169,7 +186,7 @@ def findings(names: Sequence[str]) -> Column:
             F.lit("Redacted "), F.col(count), F.lit(" password/secret assignment(s)")
         )
         records.append(_finding(kind, F.col(count), message))
-    return F.filter(F.array(*records), lambda r: r["n"] > 0)
+    return F.concat(*named, F.filter(F.array(*records), lambda r: r["n"] > 0))
 
 
 def redact(df: DataFrame, names: Sequence[str] = (), column: str = "text") -> DataFrame:

@@ -405,6 +405,11 @@ def manifest(texts: str, dropped: str) -> str:
 #: The run order of the bundles, not their name order.
 SOURCE_ORD = "coalesce(TRY_CAST(regexp_extract(bundle, '[0-9]+$') AS INT), 0) * 7 % 20"
 
+MEMBER_NUMBERS = [f"({n}) % 1000 + 1" for n in ("doc_id * 7", "doc_id", "doc_id * 3 + 1")]
+MEMBER_MARKS = "chr(10) || '<USER_' || ({}) || '> met <USER_' || ({}) || '><USER_' || ({}) || '>'".format(*MEMBER_NUMBERS)
+MEMBERS_FOUND = f"""list_transform(list_sort(list_distinct([{', '.join(MEMBER_NUMBERS)}])),
+  lambda n: 'Replaced ''member' || lpad(CAST(n - 1 AS VARCHAR), 4, '0') || ''' with <USER_' || n || '>')"""
+
 ORACLES: dict[str, str] = {
     "manifest": manifest(TEXTS, f"{ARCHIVED} OR {SENSITIVE}"),
     "manifest_every_source": manifest(SELECTIVE_TEXTS, f"{ARCHIVED} OR {SENSITIVE} OR length / 1024 < 24"),
@@ -435,6 +440,9 @@ ORACLES: dict[str, str] = {
         SELECT bundle, rel_path, regexp_extract(bundle, '[0-9]+$')::INT AS b FROM files)
       SELECT bundle, rel_path, {RULES_BY_BUNDLE} AS ignored FROM n""",
     "redact_names": hashed(PLANT_NAMES, swap_names("text")),
+    "redact_many_names": f"""WITH {files(MEMBER_MARKS)}
+      SELECT bundle, rel_path, md5({swap_secrets(swap_passwords(swap_keys(swap_emails("text"))))}) AS text_md5,
+        array_to_string({MEMBERS_FOUND}, '; ') AS found FROM files""",
     "redact_emails": hashed(PLANT_NAMES, swap_emails("text")),
     "redact_api_keys": hashed(PLANT_KEYS, swap_keys("text")),
     "redact_passwords": hashed(PLANT_PASSWORDS, swap_passwords("text")),

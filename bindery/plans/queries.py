@@ -247,6 +247,24 @@ def redact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hashed(redact.redact_names(documents(spark, sf_dir, plant_names), NAMES))
 
 
+MEMBERS = tuple(f"member{i:04d}" for i in range(1000))
+
+
+def plant_members(doc_id: Column) -> Column:
+    def member(n: Column) -> Column:
+        return F.concat(F.lit("eMber"), F.lpad((n % 1000).cast("string"), 4, "0"))
+
+    return F.concat(F.lit("\nM"), member(doc_id * 7), F.lit(" met m"), member(doc_id), F.lit("m"), member(doc_id * 3 + 1))
+
+
+def redact_many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand names; ``found`` are the messages of each file."""
+    files = documents(spark, sf_dir, plant_members)
+    done = redact.redact(files, MEMBERS)
+    found = F.transform(F.filter("redactions", lambda r: r["kind"] == "name"), lambda r: r["message"])
+    return done.select("bundle", "rel_path", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join(found, "; ").alias("found"))
+
+
 def redact_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hashed(redact.redact_emails(documents(spark, sf_dir, plant_names)))
 
@@ -624,14 +642,14 @@ def read_files_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the bundles in files of 200,000 characters and read these back, line by line in order.
+    """Write the bundles in files of 1,000,000 characters and read these back, line by line in order.
 
     ``line_order`` adds up each line's hash times its place, so lines out of
     order show. A place is the line's own in its file plus the earlier files' lines.
     """
     rows = sections.render(prepared_files(spark, sf_dir), RUN)
     path = scratch_path(spark, "bundles")
-    sinks.write_bundles(rows, path, RUN, max_chars=200_000)
+    sinks.write_bundles(rows, path, RUN, max_chars=1_000_000)
     name = F.col("_metadata")["file_name"]
     files = spark.read.text(path, wholetext=True).select("bundle_file", name.alias("file"), "value")
     sized = files.select("bundle_file", "file", tx.newlines(F.col("value")).alias("n"))
@@ -656,7 +674,7 @@ QUERIES: dict[str, Query] = {
     for name in (
         "manifest", "manifest_every_source", "scan_select_ext", "filter_archive", "filter_safe_mode", "filter_binary",
         "filter_size", "filter_mtime", "filter_combined", "skip_reasons", "skip_topk",
-        "ignore_rules", "ignore_rules_by_bundle", "redact_names", "redact_emails",
+        "ignore_rules", "ignore_rules_by_bundle", "redact_names", "redact_many_names", "redact_emails",
         "redact_api_keys", "redact_passwords", "redact_secrets", "redact_all",
         "redaction_counts", "redaction_log", "token_estimate", "model_cost",
         "token_budget_running", "minify_hash", "minify_slash", "minify_mixed",

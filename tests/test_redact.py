@@ -93,3 +93,32 @@ def test_random_texts(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = [r.text for r in redact.redact(frame).orderBy("i").collect()]
     assert [(t, g) for t, g in zip(texts, got) if g != by_hand(t)] == []
+
+
+def test_many_names_are_redacted_as_by_the_chain(spark, monkeypatch):
+    rng = random.Random(4)
+    names = ["user", "1", "_1", "r_2", "<", "x<", "bob", "Bob Lee", "éa", "ÉA", "straße", "STRASSE", "ıx", "İx", "kk", "K", "µ", "ſs", "a.b", "ab"]
+    names += ["".join(rng.choice("abkſsKİı") for _ in range(rng.randint(1, 3))) for _ in range(25)]
+    texts = ["", None, "no one", "BOB LEE met bob and user 1 <", "Éa éA STRASSE Straße ẞ", "IX ix İX ıx", "Kk KK μ Μ"]
+    texts += ["".join(rng.choice("abkſsKİı <1_ru") for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").withColumn("bundle", F.lit("b"))
+
+    def redacted():
+        return {r.id: (r.text, [x.message for x in r.redactions or []]) for r in redact.redact(rows, names).collect()}
+
+    many = redacted()
+    monkeypatch.setattr(redact, "FEW_NAMES", 1000)
+    assert many == redacted()
+    assert sum(len(found) for _, found in many.values()) > 100
+
+
+def test_the_fold_joins_what_the_pattern_joins(spark):
+    from bindery.operators.names import case_folds, folded
+
+    chars = sorted(set(map(chr, case_folds())) | set(case_folds().values()))
+    chars = [c for c in chars if not "\ud800" <= c <= "\udfff"]
+    pairs = [(c, d) for c in chars for d in {c.upper(), c.lower(), c.swapcase(), c.upper().lower()} if len(d) == 1]
+    df = spark.createDataFrame(pairs, "c string, d string")
+    alike = df.filter(F.expr(r"regexp_like(d, concat('(?iu)\\Q', c, '\\E'))")).collect()
+    assert len(alike) > 2000
+    assert [(r.c, r.d) for r in alike if folded(r.c) != folded(r.d)] == []
