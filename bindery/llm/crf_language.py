@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-from bindery.llm.rows import row_key
+from bindery.llm.rows import free_name, row_key
 
 SAMPLE, SAMPLE_WORDS = 150, 400
 LEXICON = 500
@@ -339,9 +339,10 @@ def identify(docs: DataFrame, with_runs: bool = False) -> DataFrame:
     tag = tagger_udf(docs.sparkSession, field, with_runs)
     out = docs.drop("held_out", *TAGGED.names)
     kept = [F.col(c) for c in out.columns]
-    tagged = out.select(*kept, held_out().alias("held_out"), tag("text").alias("_tagged"))
+    found = free_name(out, "_tagged")
+    tagged = out.select(*kept, held_out().alias("held_out"), tag("text").alias(found))
     names = TAGGED.names if with_runs else TAGGED.names[:2]
-    return tagged.select(*out.columns, "held_out", *[F.col("_tagged")[n].alias(n) for n in names])
+    return tagged.select(*out.columns, "held_out", *[F.col(found)[n].alias(n) for n in names])
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -354,6 +355,7 @@ def with_known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
     Rejected: ``und``, and texts of which no language has at least ``least``.
     """
     field = fit(training_words(docs.filter(F.col("doc_id").isNotNull() & ~held_out())))
-    found = docs.select(*docs.columns, tagger_udf(docs.sparkSession, field, False)("text").alias("_crf_tagged"))
-    judged = F.col("_crf_tagged")
+    name = free_name(docs, "_tagged")
+    found = docs.select(*docs.columns, tagger_udf(docs.sparkSession, field, False)("text").alias(name))
+    judged = F.col(name)
     return found.filter((judged["lang_pred"] != UNKNOWN) & (judged["score"] >= least)).select(*docs.columns)

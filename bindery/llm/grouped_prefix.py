@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from bindery.llm.linkage import linked
-from bindery.llm.rows import row_key, same_key, written
+from bindery.llm.rows import free_name, row_key, same_key, written
 
 SHINGLE, PERCENT = 5, 80
 PART_TOKENS, PART_SETS, BATCH_TOKENS = 500_000, 20_000, 500_000
@@ -360,11 +360,12 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component, unchanged: that of the least id."""
     others = near_duplicate_groups(docs).filter(~F.col("chosen"))
     others = others.select(F.col("doc_id").alias("other_id"), F.col("row_key").alias("other_key")).distinct()
-    keyed = docs.select(*docs.columns, row_key().alias("_group_key"))
+    key = free_name(docs, "_group_key")
+    keyed = docs.select(*docs.columns, row_key().alias(key))
     left = keyed.join(
-        others, keyed["doc_id"].eqNullSafe(others["other_id"]) & (keyed["_group_key"] == others["other_key"]), "left_anti"
+        others, keyed["doc_id"].eqNullSafe(others["other_id"]) & (keyed[key] == others["other_key"]), "left_anti"
     )
     # Rows that repeat id and text are one document, unless it has no words.
     wordless = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    once = left.filter(~wordless).dropDuplicates(["doc_id", "_group_key"])
+    once = left.filter(~wordless).dropDuplicates(["doc_id", key])
     return once.unionByName(left.filter(wordless)).select(*docs.columns)

@@ -87,18 +87,35 @@ def host(url: str) -> str:
 
 
 RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-LINK = f"regexp_extract(regexp_extract(html, {quoted(LINK_TAG)}), {quoted(HREF)}, 1)"
-REFRESH = f"regexp_extract(regexp_extract(html, {quoted(REFRESH_TAG)}), {quoted(REFRESH_TO)}, 1)"
+LINKS = " || ".join(
+    f"list_transform(regexp_extract_all(html, {quoted(tag)}), lambda t: regexp_extract(t, {quoted(target)}, 1))"
+    for tag, target in ((LINK_TAG, HREF), (REFRESH_TAG, REFRESH_TO))
+)
+SITE = f"regexp_extract(base, '(?s)^(.*?://)', 1) || regexp_extract(base, {quoted(URL)}, 1)"
+BASE_PATH = f"regexp_extract(base, {quoted(URL)}, 2)"
+LINK_PATH, LINK_TAIL = (f"regexp_extract(link, '{p}', 1)" for p in ("(?s)^([^?#]*)", "(?s)^[^?#]*(.*)$"))
+FOLDER = f"CASE WHEN regexp_extract({BASE_PATH}, '(?s)^(.*/)', 1) = '' THEN '/' ELSE regexp_extract({BASE_PATH}, '(?s)^(.*/)', 1) END"
+
+
+def without_dots(path: str) -> str:
+    parts = f"string_split(substr({path}, 2), '/')"
+    parts = f"({parts} || CASE WHEN {parts}[-1] IN ('.', '..') THEN [''] ELSE CAST([] AS VARCHAR[]) END)"
+    step = "CASE WHEN x[1] = '..' THEN a[1:len(a) - 1] WHEN x[1] = '.' THEN a ELSE a || x END"
+    return f"'/' || array_to_string(list_reduce(list_transform({parts}, lambda s: [s]), lambda a, x: {step}, CAST([] AS VARCHAR[])), '/')"
+
 
 URLS = f"""
 WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES {RULE_ROWS}),
 links AS (
-  SELECT DISTINCT url AS base, unnest([{LINK}, {REFRESH}]) AS link FROM pages),
+  SELECT DISTINCT url AS base, unnest({LINKS}) AS link FROM pages),
 targets AS (
-  SELECT base, CASE WHEN contains(link, '://') THEN link
+  SELECT base, CASE WHEN link = '' OR starts_with(link, '#') THEN NULL
+    WHEN regexp_matches(link, '(?is)^[a-z][a-z0-9+.-]*://') THEN link
     WHEN starts_with(link, '//') THEN regexp_extract(base, '^(.*?:)//', 1) || link
-    WHEN starts_with(link, '/') THEN regexp_extract(base, '(?s)^(.*?://)', 1) || regexp_extract(base, {quoted(URL)}, 1) || link
-    END AS url FROM links),
+    WHEN regexp_matches(link, '(?is)^[a-z][a-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(link, '?') THEN {SITE} || {BASE_PATH} || link
+    WHEN starts_with(link, '/') THEN {SITE} || {without_dots(LINK_PATH)} || {LINK_TAIL}
+    ELSE {SITE} || {without_dots(FOLDER + " || " + LINK_PATH)} || {LINK_TAIL} END AS url FROM links),
 urls AS (
   SELECT url, {host('url')} AS host, coalesce(regexp_extract(url, {quoted(URL)}, 2), '') AS path, {spelling('url')} AS node
   FROM (SELECT DISTINCT url FROM pages UNION SELECT DISTINCT url FROM targets WHERE url IS NOT NULL)),

@@ -31,6 +31,14 @@ def row_key() -> Column:
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it; case does not tell columns apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column | str) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -27,7 +27,10 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK_TAG = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+LINK_TAG = (
+    r"""(?is)<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'"""
+    r"""|canonical(?:[\s/]|>))[^>]*>?"""
+)
 REFRESH_TAG = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH_TO = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
@@ -52,13 +55,39 @@ def one_spelling(url: Column) -> Column:
     return F.concat(F.regexp_replace(host_of(url), r"^www\.|:(?:80|443)$", ""), rest)
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    ends_in_folder = F.element_at(parts, -1).isin(".", "..")
+    parts = F.when(ends_in_folder, F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda at, part: F.when(part == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))))
+        .when(part == ".", at)
+        .otherwise(F.concat(at, F.array(part))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def absolute(link: Column, base: Column) -> Column:
-    """``link`` as found on the page ``base``: absolute, or relative to the scheme or host."""
+    """``link`` as found on the page ``base``, in any of its relative forms.
+
+    Null for an empty link, a bare fragment and schemes without a host.
+    """
     scheme = F.regexp_extract(base, r"(?s)^(.*?://)", 1)
+    site = F.concat(scheme, F.regexp_extract(base, URL, 1))
+    path, tail = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
     return (
-        F.when(link.contains("://"), link)
+        F.when((link == "") | link.startswith("#"), F.lit(None))
+        .when(link.rlike(r"(?is)^[a-z][a-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), link))
-        .when(link.startswith("/"), F.concat(scheme, F.regexp_extract(base, URL, 1), link))
+        .when(link.rlike(r"(?is)^[a-z][a-z0-9+.-]*:"), F.lit(None))
+        .when(link.startswith("?"), F.concat(site, path_of(base), link))
+        .when(link.startswith("/"), F.concat(site, without_dots(path), tail))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, path)), tail))
     )
 
 
@@ -117,12 +146,12 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     """
     table = rule_table(pages, rules)
     base = F.col("url")
-    links = F.array_distinct(
-        F.array(
-            F.regexp_extract(F.regexp_extract("html", LINK_TAG, 0), HREF, 1),
-            F.regexp_extract(F.regexp_extract("html", REFRESH_TAG, 0), REFRESH_TO, 1),
-        )
-    )
+
+    def found(tag: str, target: str) -> Column:
+        tags = F.regexp_extract_all("html", F.lit(tag), F.lit(0))
+        return F.transform(tags, lambda t: F.regexp_extract(t, target, 1))
+
+    links = F.array_distinct(F.concat(found(LINK_TAG, HREF), found(REFRESH_TAG, REFRESH_TO)))
     node = F.when(F.col("host") != "", F.xxhash64(one_spelling(F.col("url"))))
     read = written(
         pages.select("page_id", "url", F.filter(F.transform(links, lambda x: absolute(x, base)), F.isnotnull).alias("links"))

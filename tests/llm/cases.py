@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 SYLLABLES = "ka lo mi ner tu sa vel dro pi ash en or ul zi mo".split()
 CLASHING = (
     "row_key set_id label node words hits items score held_out lang_pred secrets token_ids removed_lines "
-    "anchor segment owner prefix n_shingles component_id chosen file_no nth runs bucket first"
+    "_gone _gone_id _gone_key _line_key _group_key _tagged _crf_tagged anchor segment owner prefix n_shingles component_id chosen file_no nth runs bucket first"
 ).split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 

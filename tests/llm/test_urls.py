@@ -75,3 +75,39 @@ def test_repeated_rows_and_empty(spark):
     table = pages(spark, [(1, "http://a.net/", None)] * 3)
     assert [r.verdict for r in uf.digest(table).collect()] == ["block"] * 3
     assert uf.digest(table.limit(0)).collect() == []
+
+
+RELATIVE = [
+    (1, "http://s.example/a/b/page", canonical("next.html")),
+    (2, "http://s.example/a/b/next.html", canonical("../x")),
+    (3, "http://s.example/a/x", refresh("?id=2")),
+    (4, "http://s.example/a/x?id=2", canonical("./q/../../y/./z#part")),
+    (5, "http://s.example/y/z", refresh("http://s.example/end") + refresh("http://bad.net/")),  # the second of two
+    (6, "http://s.example", canonical("page/..")),
+    (7, "http://s.example/", "<link rel='alternate canonical nofollow' href=//bad.net/q>"),
+    (8, "http://t.example/a", canonical("mailto:x@bad.net") + canonical("#top") + canonical("")),
+    (9, "http://t.example/b", '<link rel="not-canonical" href="http://bad.net/">'),
+    (10, "http://t.example/c", "<link rel=canonical href='../../../d'>"),
+    (11, "http://t.example/d", "<LINK HREF=http://bad.net/9 REL=canonical>"),
+    (12, "http://u.example/..", canonical("..")),
+]
+
+
+def test_relative_links_and_every_tag(spark):
+    got = judged(spark, RELATIVE)
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, 4, 5, 6, 7, 10, 11}
+
+
+def test_relative_links_match_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from bindery.llm.oracles import URLS
+
+    pages_ = pd.DataFrame(RELATIVE + [(20, None, canonical("x")), (21, "no host", canonical("y"))], columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", pages_)
+    want = con.sql(URLS)
+    columns = want.columns
+    got = uf.digest(pages(spark, list(pages_.itertuples(index=False, name=None)))).select(*columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
