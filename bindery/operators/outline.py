@@ -96,6 +96,13 @@ def symbols(files: DataFrame) -> DataFrame:
     )
 
 
+def symbol_counts(found: DataFrame) -> DataFrame:
+    """Symbols per bundle and kind, and the files that have some."""
+    return found.groupBy("bundle", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files")
+    )
+
+
 def _doc(symbol: Column, indent: str) -> Column:
     quoted = F.concat(F.lit(f'\n{indent}"""'), symbol["docstring"], F.lit('"""'))
     return F.coalesce(quoted, F.lit(""))

@@ -15,7 +15,7 @@ from bindery.functions import paths, tokens
 from bindery.functions.text import SPACE, newlines, title, xml_escape
 from bindery.operators.ordering import number_rows
 from bindery.operators.placement import SLOT_CHARS, index_digits, placed
-from bindery.operators.tree import tree_lines
+from bindery.operators.tree import tree_lines, tree_sizes
 from bindery.options import Options
 
 HEAD, TREE, TREE_END, BODY, TAIL, GAP = range(6)
@@ -119,6 +119,7 @@ def _standard_body() -> Column:
 
 
 _XML_OPEN = "    <document index='"
+_XML_TAIL = "  </documents>\n</context>"
 
 
 def _xml_body() -> Column:
@@ -250,7 +251,7 @@ def render(
     parts = [section_heads(files, options, prompts), section_bodies(files, options)]
     bundles = files.select("bundle").distinct()
     if options.output_format == "xml":
-        parts.append(_rows(bundles, TAIL, F.lit("  </documents>\n</context>")))
+        parts.append(_rows(bundles, TAIL, F.lit(_XML_TAIL)))
     elif options.output_format != "markdown" and options.show_tree:
         lines = tree_lines(files)
         parts.append(_rows(lines, TREE, F.col("line"), F.col("key")))
@@ -261,6 +262,22 @@ def render(
     return out
 
 
+def sizes(files: DataFrame, options: Options, prompts: DataFrame | None = None) -> DataFrame:
+    """``(bundle, part, chars, lines)`` with the sums of ``render``, for statistics: no tree is drawn."""
+    parts = [section_heads(files, options, prompts), section_bodies(files, options)]
+    bundles = files.select("bundle").distinct()
+    if options.output_format == "xml":
+        parts.append(_rows(bundles, TAIL, F.lit(_XML_TAIL)))
+    elif options.output_format != "markdown" and options.show_tree:
+        parts.append(tree_sizes(files).withColumn("part", F.lit(TREE)))
+        parts.append(_rows(bundles, TREE_END, F.lit(RULE)))
+    narrow = [p.select("bundle", "part", "chars", "lines") for p in parts]
+    out = narrow[0]
+    for rows in narrow[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
 def text_chars(output_format: str) -> Column:
     """The length of a bundle's text, as an aggregate over its sections."""
     if output_format != "xml":

@@ -110,3 +110,17 @@ def tree_lines(files: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("key"),
         F.concat("top", F.lit("/")).alias("line"),
     ).unionByName(named.select("bundle", "key", line.alias("line")))
+
+
+def tree_sizes(files: DataFrame) -> DataFrame:
+    """``(bundle, chars, lines)`` of the tree's lines with their newlines, summed up; nothing is drawn.
+
+    A line is as long as four characters per level, its name and a folder's slash.
+    """
+    top = F.col("top") if "top" in files.columns else F.col("bundle")
+    roots = files.select("bundle", top.alias("top")).distinct().select("bundle", (F.length("top") + 2).alias("chars"))
+    own = F.length(F.element_at("key", -1)) + F.col("is_folder").cast("int")  # its mark stands in for the newline
+    lines = _nodes(files).select("bundle", (4 * F.size("key") + own).alias("chars"))
+    return roots.unionByName(lines).groupBy("bundle").agg(
+        F.sum(F.col("chars").cast("bigint")).alias("chars"), F.count(F.lit(1)).alias("lines")
+    )

@@ -508,6 +508,8 @@ ORACLES: dict[str, str] = {
     "report_lines": f"""{TEXTS} SELECT bundle, 'Tokens: ' || format('{{:,}}', token_count)
         || ' | Estimated cost: $' || printf('%.4f', token_count / 1000000 * 2.5) || ' (gpt-4o)' AS line FROM stats""",
     "code_symbols": f"{CODE} {SYMBOLS}",
+    "symbol_counts": f"""SELECT bundle, kind, count(*) AS n, count(DISTINCT path) AS files
+      FROM ({CODE} {SYMBOLS}) GROUP BY ALL""",
     "code_outline": f"{OUTLINED} SELECT bundle, rel_path, t AS text FROM outlined",
     "outline_reduction": f"""{OUTLINED}, sums AS (SELECT bundle, sum(length(source))::BIGINT AS old_chars,
         sum(length(t))::BIGINT AS new_chars FROM outlined GROUP BY 1)

@@ -467,7 +467,7 @@ def all_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = prepared_files(spark, sf_dir)
-    return stats.bundle_stats(files, sections.render(files, RUN))
+    return stats.bundle_stats(files, sections.sizes(files, RUN))
 
 
 def bundle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,6 +509,10 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.symbols(code_files(spark, sf_dir))
 
 
+def symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.symbol_counts(outline.symbols(code_files(spark, sf_dir)))
+
+
 def code_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.apply_outline(code_files(spark, sf_dir)).select("bundle", "rel_path", "text")
 
@@ -682,7 +686,7 @@ QUERIES: dict[str, Query] = {
         "sections_standard", "sections_xml", "sections_markdown", "prompt_prefix",
         "prompt_templates", "bundle_text", "bundle_text_chunks", "all_bundles",
         "bundle_stats", "file_type_histogram", "run_totals", "report_lines",
-        "code_symbols", "code_outline", "outline_reduction", "upsert_merge",
+        "code_symbols", "symbol_counts", "code_outline", "outline_reduction", "upsert_merge",
         "upsert_replace", "store_roundtrip", "store_typed", "read_files_decode", "sink_roundtrip",
     )
 }

@@ -179,7 +179,8 @@ class Run:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return stats.bundle_stats(self.prepared, self.sections, self.options.output_format)
+        sized = sections.sizes(self.prepared, self.options, self.prompts)
+        return stats.bundle_stats(self.prepared, sized, self.options.output_format)
 
     @cached_property
     def manifest(self) -> DataFrame:

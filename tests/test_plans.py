@@ -38,6 +38,12 @@ def test_statistics_do_not_read_the_text(spark):
     assert "PushedFilters: [IsNull(skip_reason)" in plan_of(run.stats)
 
 
+def test_statistics_draw_no_tree(spark):
+    classified = q.filters.classify(q.documents(spark, SF), q.RUN)
+    run = runs.Run(classified, q.RUN)
+    assert "├──" not in plan_of(run.manifest) and "sections" not in vars(run)
+
+
 def test_path_operators_read_paths_only(spark):
     plan = plan_of(q.filter_archive(spark, SF).select("rel_path"))
     assert columns_read(plan) == [{"doc_id", "lang", "source"}]

@@ -388,3 +388,16 @@ def test_settings_keep_their_types(spark, tmp_path):
     back, _ = sinks.import_store(spark, str(tmp_path / "store"), typed=True)
     got = {r.key: json.loads(r.value) for r in back.select("key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value")).collect()}
     assert got == values
+
+
+@pytest.mark.parametrize("output_format", ["standard", "xml", "markdown"])
+@pytest.mark.parametrize("show_tree", [False, True])
+def test_sizes_are_those_of_the_sections(spark, output_format, show_tree):
+    options = Options(output_format=output_format, show_tree=show_tree, prompt="Do it.")
+    files = spark.createDataFrame(
+        [(b, p, f"{b}/{p}", "text\n" * n, None, "naïve")
+         for b in ("x", "y") for n, p in enumerate(["a/b/ç.txt", "a/b.txt", "a.txt", "d/e/f/g.py"])],
+        "bundle string, rel_path string, display_path string, text string, read_error string, top string",
+    )
+    drawn = stats.text_totals(sections.render(files, options), output_format)
+    assert sorted(drawn.collect()) == sorted(stats.text_totals(sections.sizes(files, options), output_format).collect())
