@@ -49,8 +49,8 @@ def number_rows(
         return F.coalesce(F.sum(name).over(earlier), F.lit(0))
 
     shifts = per_slice.select(
-        "_slice",
-        *group,
+        F.col("_slice").alias("_slice_of"),
+        *[F.col(g).alias(f"_group_{i}") for i, g in enumerate(group)],
         (before("_rows") - F.col("_first") + 1).alias("_shift"),
         F.sum("_rows").over(whole).alias("group_rows"),
         *[before(f"_sum_{t}").alias(f"_before_{t}") for t in totals],
@@ -69,7 +69,10 @@ def number_rows(
                 for t in totals
             ],
         )
-    return sliced.join(shifts, ["_slice", *group]).select(
+    same = F.col("_slice") == F.col("_slice_of")
+    for i, g in enumerate(group):  # a null group is a group
+        same = same & F.col(g).eqNullSafe(F.col(f"_group_{i}"))
+    return sliced.join(shifts, same).select(
         *keys.columns,
         (F.col("_at") + F.col("_shift")).alias("row_no"),
         "group_rows",

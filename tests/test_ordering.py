@@ -88,3 +88,23 @@ def test_running_budget(spark):
         ("a", "1/3", 20_000, "ok"), ("b", "2/3", 50_000, "over_soft"), ("c", "3/3", 150_000, "over_hard"),
     ]
     assert rows[2].budget_percent == 100.0 and rows[0].running_cost == 0.05
+
+
+def test_rows_without_a_group_are_a_group(spark):
+    rows = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "g string, k int")
+    got = number_rows(rows, ["g"], ["k"]).select("g", "k", "row_no", "group_rows").collect()
+    assert sorted(map(tuple, got), key=repr) == [("a", 5, 1, 1), (None, 1, 1, 2), (None, 2, 2, 2)]
+
+
+def test_a_bundle_without_a_name_keeps_its_text(spark):
+    from bindery.operators import sections
+    from bindery.options import Options
+
+    files = spark.createDataFrame(
+        [(b, p, p, f"text of {p}", None) for b in (None, "x") for p in ("a.txt", "b.txt")],
+        "bundle string, rel_path string, display_path string, text string, read_error string",
+    )
+    rows = sections.render(files, Options(output_format="xml"))
+    texts = {r.bundle: r.text for r in sections.bundle_text(rows, "xml", max_chars=1 << 20).collect()}
+    assert texts[None] == texts["x"] and "index='2'" in texts["x"]
+    assert sections.all_bundles(rows, "xml").count() == rows.count() + 2
