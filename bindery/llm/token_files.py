@@ -56,6 +56,8 @@ def write_token_files(docs: DataFrame, path: str, ranks: str = RANKS, separator:
     with open(ranks, "rb") as file:
         shared = spark.sparkContext.broadcast(file.read())  # one vocabulary file
     end = separator.to_bytes(2, "little")
+    system, folder = file_system(path)
+    system.create_dir(folder)  # also where no task has a row to write
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, out, nth = encoding(shared.value), None, 0
@@ -63,7 +65,6 @@ def write_token_files(docs: DataFrame, path: str, ranks: str = RANKS, separator:
         name = f"part-{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
         for batch in batches:
             if batch.num_rows and out is None:
-                system.create_dir(folder)
                 out = system.open_output_stream(f"{folder}/{name}")
             for text in batch.column("text"):
                 out.write(np.array(coder.encode_ordinary(text.as_py() or ""), "<u2").tobytes() + end)
