@@ -11,12 +11,10 @@ import re
 from collections.abc import Iterable, Sequence
 from functools import cache, lru_cache
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-
 #: No character from here on has a case.
 CASED = 0x1F000
 
@@ -63,8 +61,10 @@ def may_match_a_mark(name: str) -> bool:
 
 
 @lru_cache(maxsize=4)
-def automaton(names: tuple[str, ...]) -> ahocorasick.Automaton:
+def automaton(names: tuple[str, ...]):
     """Over the folded names; each ends in the places of the names that fold to it."""
+    import ahocorasick  # needed for many names alone
+
     places: dict[str, list[int]] = {}
     for i, name in enumerate(names, 1):
         places.setdefault(folded(name), []).append(i)
