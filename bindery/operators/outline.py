@@ -3,26 +3,35 @@
 from __future__ import annotations
 
 import ast
+from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+TEXTS = ("kind", "parent", "name", "signature", "returns", "docstring")
 SYMBOL = T.StructType(
     [T.StructField("ordinal", T.IntegerType())]
-    + [
-        T.StructField(name, T.StringType())
-        for name in ("kind", "parent", "name", "signature", "returns", "docstring")
-    ]
+    + [T.StructField(name, T.StringType()) for name in TEXTS]
     + [T.StructField("closes_class", T.BooleanType())]
 )
+_FIELDS = [
+    pa.field("ordinal", pa.int32()),
+    *(pa.field(name, pa.string()) for name in TEXTS),
+    pa.field("closes_class", pa.bool_()),
+]
+# Where statements stand in a node, in the order of its fields.
+_BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
+
+
+def _source(node: ast.expr) -> str:
+    return node.id if type(node) is ast.Name else ast.unparse(node)
 
 
 def _function(node: ast.FunctionDef | ast.AsyncFunctionDef, parent: str | None) -> dict:
-    names = [
-        f"{a.arg}: {ast.unparse(a.annotation)}" if a.annotation else a.arg for a in node.args.args
-    ]
-    returns = ast.unparse(node.returns) if node.returns else None
+    names = [f"{a.arg}: {_source(a.annotation)}" if a.annotation else a.arg for a in node.args.args]
+    returns = _source(node.returns) if node.returns else None
     arrow = f" -> {returns}" if returns else ""
     return {
         "kind": "method" if parent else "function",
@@ -36,7 +45,7 @@ def _function(node: ast.FunctionDef | ast.AsyncFunctionDef, parent: str | None)
 
 
 def _class(node: ast.ClassDef) -> list[dict]:
-    bases = ", ".join(map(ast.unparse, node.bases))
+    bases = ", ".join(map(_source, node.bases))
     head = {
         "kind": "class",
         "parent": None,
@@ -52,6 +61,18 @@ def _class(node: ast.ClassDef) -> list[dict]:
     return group
 
 
+def _statements(tree: ast.Module) -> Iterator[ast.AST]:
+    """What holds or is a statement, in the order of ``ast.walk``; expressions hold none."""
+    todo: deque[ast.AST] = deque([tree])
+    while todo:
+        node = todo.popleft()
+        for block in _BLOCKS:
+            below = getattr(node, block, None)
+            if type(below) is list:
+                todo += below
+        yield node
+
+
 def symbols_in(source: str | None) -> list[dict]:
     """Classes at any depth with their plain methods, and column-0 functions.
 
@@ -59,7 +80,7 @@ def symbols_in(source: str | None) -> list[dict]:
     """
     try:
         found: list[dict] = []
-        for node in ast.walk(ast.parse(source or "")):
+        for node in _statements(ast.parse(source or "")):
             match node:
                 case ast.ClassDef():
                     found += _class(node)
@@ -70,10 +91,14 @@ def symbols_in(source: str | None) -> list[dict]:
     return [{"ordinal": i, **symbol} for i, symbol in enumerate(found, 1)]
 
 
-@F.pandas_udf(T.ArrayType(SYMBOL))
-def _symbols(sources: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in sources:
-        yield batch.map(symbols_in)
+@F.arrow_udf(T.ArrayType(SYMBOL))
+def _symbols(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        found = [symbols_in(source) for source in batch.to_pylist()]
+        ends = list(accumulate(map(len, found), initial=0))
+        flat = list(chain.from_iterable(found))
+        columns = [pa.array([s[f.name] for s in flat], f.type) for f in _FIELDS]
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=_FIELDS))
 
 
 def with_symbols(files: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from bindery.operators import (
 )
 from bindery.options import PRICES_PER_MILLION, PROMPT_TEMPLATES, Options, Source
 from bindery.plans import runs
-from bindery.session import scratch_path
+from bindery.session import all_tasks, scratch_path
 from bindery.sources import folders, sinks
 from bindery.sources.tables import as_files
 
@@ -133,8 +133,13 @@ def prepared_files(spark: SparkSession, sf_dir: str, options: Options = RUN) ->
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python sources made from ``part``; one in ten does not parse."""
+    """Python sources made from ``part``; one in ten does not parse.
+
+    A file of ``part`` is a few MB that one task would read, and parsing each
+    row costs far more than reading it: the narrow rows are dealt to all tasks.
+    """
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    part = part.repartition(all_tasks(spark))
     key, lit = F.col("p_partkey"), F.lit
     inner = F.when(key % 7 == 0, "\n    class Inner:\n        def deep(self, n: int):\n            return n\n")
     source = F.concat(

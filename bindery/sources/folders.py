@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bindery.functions import paths, text as tx
 from bindery.operators.ignore import usable_lines
 from bindery.options import Source
-from bindery.session import durable
+from bindery.session import all_tasks, durable
 
 IGNORE_FILES = (".gptignore", ".gitignore")
 SOURCE = "source_ord int, bundle string, top string, root string, recursive boolean, include_archive boolean, dir string"
@@ -78,12 +78,6 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
-def _tasks(spark: SparkSession) -> int:
-    return max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-
-
 def source_table(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     """One row per source: its place in the list, bundle, folder name and root."""
     rows = [
@@ -104,7 +98,7 @@ def list_files(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     frontier = source_table(spark, sources)
     levels: DataFrame | None = None
     while not frontier.isEmpty():
-        listed = durable(frontier.repartition(_tasks(spark)).mapInPandas(_list, LISTING))
+        listed = durable(frontier.repartition(all_tasks(spark)).mapInPandas(_list, LISTING))
         files = listed.filter(~F.col("is_dir"))
         levels = files if levels is None else levels.unionByName(files)
         below = F.concat_ws("/", F.nullif("dir", F.lit("")), "name")
@@ -169,7 +163,7 @@ def read_contents(listing: DataFrame) -> DataFrame:
     listing = durable(listing)
     asked = F.when(F.col("want") == WHOLE, F.col("length")).otherwise(F.col("want"))
     total = listing.agg(F.sum(asked)).first()[0] or 0
-    tasks = max(_tasks(spark), -(-total // SPLIT_BYTES))
+    tasks = max(all_tasks(spark), -(-total // SPLIT_BYTES))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema)
     return (
         listing.repartition(int(tasks))
