@@ -628,17 +628,13 @@ def read_files_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     files are skipped with their reason.
     """
     docs = table(spark, sf_dir, "documents")
-    bad = F.lit(bytearray(b"\xff\xc3 caf\xc3\xa9\xe2\x82\r\nend\r"))
+    bad = F.lit(bytearray(b"\xff\xc3 caf\xc3\xa9\xe2\x82\r\nend\r\n"))
     path = scratch_path(spark, "files")
-    (
-        docs.select(
-            F.coalesce("lang", F.lit("none")).alias("lang"),
-            F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), bad).cast("string").alias("value"),
-        )
-        .write.partitionBy("lang")
-        .option("maxRecordsPerFile", 1)
-        .text(path)
+    written = docs.select(
+        F.coalesce("lang", F.lit("none")).alias("lang"),
+        F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), bad).alias("content"),
     )
+    folders.write_each(written, path, "lang")
     sources = [Source(path, "all"), Source(f"{path}/lang=en", "top", exclude_subfolders=True)]
     files = runs.collect(spark, sources, SMALL_FILES)
     return files.select(

@@ -14,7 +14,9 @@ import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bindery.functions import paths, text as tx
@@ -29,6 +31,8 @@ LIST_BATCH = 10_000
 READ_BATCH_BYTES = 32 << 20
 SPLIT_BYTES = 512 << 20
 WHOLE, HEAD_ONLY = -1, 1024
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = {ord(c): f"%{ord(c):02X}" for c in [*map(chr, range(1, 32)), *"\"#%'*/:=?\\{[]^\x7f"]}
 MAX_VALUE_BYTES = 2_000_000_000  # a Spark value ends at 2 GiB: such a file is reported as not readable
 
 
@@ -78,6 +82,45 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
+def folder_of(key: str, value: str | None) -> str:
+    """The folder name that Spark's partitioned writers give."""
+    return f"{key}={value.translate(ESCAPED) if value else NO_VALUE}"
+
+
+def _written(path: str, key: str):
+    """Write each ``content`` to the folder of its key; one row with the number of files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = _filesystem(path)
+        name, n, folders = f"part-{TaskContext.get().partitionId():05d}", 0, {}
+        for batch in batches:
+            for value, content in zip(batch.column(key).to_pylist(), batch.column("content")):
+                if value not in folders:
+                    folders[value] = _join(base, folder_of(key, value))
+                    filesystem.create_dir(folders[value])
+                with filesystem.open_output_stream(f"{folders[value]}/{name}-{n}.txt", compression=None) as f:
+                    f.write(content.as_buffer())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    return write
+
+
+def write_each(rows: DataFrame, path: str, key: str) -> int:
+    """Write each row's ``content`` as a file of its own in ``<key>=<value>`` below ``path``; returns how many.
+
+    Spark's writers create, move and commit such files one by one, the moves on the
+    driver. Here tasks write to the last place at once. Names come from the
+    partition and the place in it, so a task tried again writes its files anew and
+    leaves none twice: ``rows`` must come in the same order then, as those of a
+    table do. ``path`` must be of a kind that ``pyarrow.fs`` opens.
+    """
+    filesystem, base = _filesystem(path)
+    filesystem.create_dir(base)  # also where no task has a row to write
+    counts = rows.select(key, "content").mapInArrow(_written(path, key), "files bigint")
+    return counts.agg(F.sum("files")).first()[0] or 0
+
+
 def source_table(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     """One row per source: its place in the list, bundle, folder name and root."""
     rows = [
