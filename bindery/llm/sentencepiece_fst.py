@@ -22,12 +22,14 @@ from __future__ import annotations
 import math
 import re
 import string
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 from sentencepiece import sentencepiece_model_pb2
@@ -65,9 +67,29 @@ class Transducer:
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.pieces), "") for p in self.pieces}
         self.whole_letters = {p for p in self.pieces if len(p) == 1}
         self.units = self._unit_pattern()
+        self.arcs = self._arcs()
         self.follows: dict[tuple[str, str], bool] = {}
-        self.solved: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}  # what was solved before the last turn
+        self.solved: dict[str, bytes] = {}  # ids of a unit, 4 bytes each
+        self.older: dict[str, bytes] = {}  # what was solved before the last turn
+
+    def _arcs(self) -> dict:
+        """The pieces letter by letter: ``""`` holds the piece that ends here; a piece that goes no further stands for its node."""
+        root: dict = {}
+        for piece in self.pieces:
+            node = root
+            for letter in piece:
+                node = node.setdefault(letter, {})
+            node[""] = piece
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            for letter, below in node.items():
+                if type(below) is dict:
+                    if len(below) == 1 and "" in below:
+                        node[letter] = below[""]
+                    else:
+                        todo.append(below)
+        return root
 
     def _unit_pattern(self) -> re.Pattern:
         """Splits where no piece can cross; one unit if spaces stand inside pieces.
@@ -110,17 +132,22 @@ class Transducer:
 
     def only_path(self, unit: str) -> tuple[int, ...]:
         """The finite path of a byte-pair model over a unit all of whose characters are pieces."""
-        pieces, starts, follows, n = self.pieces, self.starts, self.follows, len(unit)
+        pieces, arcs, follows, n = self.pieces, self.arcs, self.follows, len(unit)
         path, at, closed, piece = [""], 0, set(), None
         while True:
             if piece is None:  # arrived at a new place: the longest arc first
                 if at == n:
                     return tuple(map(pieces.__getitem__, path[1:]))
-                end = at + 1
-                while end <= n and (part := unit[at:end]) in starts:
-                    if part in pieces:
-                        piece = part
-                    end += 1
+                node = arcs
+                for letter in unit[at:]:
+                    node = node.get(letter)
+                    if node is None:
+                        break
+                    if type(node) is str:
+                        piece = node
+                        break
+                    if "" in node:
+                        piece = node[""]
             end, last = at + len(piece), path[-1]
             if end not in closed:
                 good = follows.get((last, piece))
@@ -164,21 +191,28 @@ class Transducer:
             j = came[j]
         return tuple(chain.from_iterable(reversed(path)))
 
-    def encode(self, text: str) -> list[int]:
+    def _solve(self, unit: str) -> bytes:
+        ids = self.solved.get(unit) or self.older.get(unit) or array("i", self.shortest_path(unit)).tobytes()
+        if len(unit) <= KEPT_LENGTH:
+            if len(self.solved) >= KEPT_UNITS:
+                self.older, self.solved = self.solved, {}
+            self.solved[unit] = ids
+        return ids
+
+    def packed(self, text: str) -> bytes:
+        """The ids, 4 bytes each."""
         if not text:
-            return []
-        solved, older, out = self.solved, self.older, []
-        for unit in self.units.findall(self.prefix + text.replace(" ", SPACE)):
-            ids = solved.get(unit)
-            if ids is None:
-                ids = older.get(unit) or self.shortest_path(unit)
-                if len(unit) <= KEPT_LENGTH:
-                    if len(solved) >= KEPT_UNITS:
-                        older, solved = solved, {}
-                        self.older, self.solved = older, solved
-                    solved[unit] = ids
-            out += ids
-        return out
+            return b""
+        units = self.units.findall(self.prefix + text.replace(" ", SPACE))
+        solved = list(map(self.solved.get, units))
+        at = 0
+        for _ in range(solved.count(None)):
+            at = solved.index(None, at)
+            solved[at] = self._solve(units[at])
+        return b"".join(solved)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -211,15 +245,21 @@ class Codec:
             machine = transducer(shared.value)
             return pd.Series([None if x is None else machine.decode(x) for x in ids], index=ids.index)
 
-        @F.pandas_udf(TOKENS)
-        def both(texts: pd.Series) -> pd.DataFrame:
+        @F.arrow_udf(TOKENS)
+        def both(texts: pa.Array) -> pa.Array:
             """Ids, and whether they decode to the text; U+2581 comes back as a space."""
-            machine, rows = transducer(shared.value), []
+            machine, values, ends, restored = transducer(shared.value), bytearray(), [0], []
             for text in texts:
-                ids = None if text is None else machine.encode(text)
-                restored = ids is None or machine.decode(ids) == text.replace(SPACE, " ")
-                rows.append((None if ids is None else np.array(ids, np.int32), restored))
-            return pd.DataFrame(rows, columns=TOKENS.names, index=texts.index)
+                text, packed = text.as_py(), b""
+                if text is not None:
+                    packed = machine.packed(text)
+                    values += packed
+                ids = np.frombuffer(packed, np.int32).tolist()
+                restored.append(text is None or machine.decode(ids) == text.replace(SPACE, " "))
+                ends.append(len(values) // 4)
+            ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(values)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids, mask=texts.is_null())
+            return pa.StructArray.from_arrays([lists, pa.array(restored, pa.bool_())], names=TOKENS.names)
 
         self.encode, self.decode, self.both = encode, decode, both
 

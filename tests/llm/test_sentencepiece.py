@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from cases import awkward_texts, documents
@@ -66,3 +67,27 @@ def test_other_models_are_refused(raw):
     model.trainer_spec.byte_fallback = False
     with pytest.raises(ValueError):
         fst.Transducer(model.SerializeToString())
+
+
+def test_ids_stay_packed_and_null_texts_stay_null(spark):
+    machine = fst.transducer(open(fst.MODEL, "rb").read())
+    texts = ["one two  three\n", "", "wörld \U0001f600", "thnthaat ▁ lasramiie!"]
+    for text in texts:
+        ids = machine.encode(text)
+        assert machine.packed(text) == np.array(ids, np.int32).tobytes()
+    assert all(type(ids) is bytes for ids in machine.solved.values())  # no list of numbers is remembered
+    rows = [(i, t) for i, t in enumerate([None, *texts, None])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = [tuple(r) for r in fst.tokenized(docs).orderBy("doc_id").collect()]
+    ids = [None if t is None else machine.encode(t) for _, t in rows]
+    assert got == [(i, x, len(x or []), True) for i, x in enumerate(ids)]
+
+
+def test_arcs_name_the_pieces_that_start_a_text():
+    machine = fst.transducer(open(fst.MODEL, "rb").read())
+    for piece in list(machine.pieces)[::97]:
+        found, node = [], machine.arcs
+        for letter in piece:
+            node = node[letter]
+            found += [node] if type(node) is str else [node[""]] if "" in node else []
+        assert found == [piece[:n] for n in range(1, len(piece) + 1) if piece[:n] in machine.pieces]
