@@ -36,7 +36,7 @@ from sentencepiece import sentencepiece_model_pb2
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-KEPT_UNITS, KEPT_LENGTH = 80_000, 60
+KEPT_UNITS, KEPT_LENGTH, KEPT_PAIRS = 140_000, 60, 320_000
 UNIGRAM, BYTE_PAIR = 1, 2
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNKNOWN_COST = 10.0
@@ -124,7 +124,7 @@ class Transducer:
         """The merges leave these two pieces apart and whole; an empty one stands for the start or a fallback."""
         found = self.follows.get((left, right))
         if found is None:
-            if len(self.follows) > 4 * KEPT_UNITS:
+            if len(self.follows) > KEPT_PAIRS:
                 self.follows.clear()
             found = self.merged(left + right) == ([left, right] if left else [right])
             self.follows[left, right] = found

@@ -91,3 +91,14 @@ def test_arcs_name_the_pieces_that_start_a_text():
             node = node[letter]
             found += [node] if type(node) is str else [node[""]] if "" in node else []
         assert found == [piece[:n] for n in range(1, len(piece) + 1) if piece[:n] in machine.pieces]
+
+
+def test_units_of_a_large_vocabulary_are_solved_once(raw, monkeypatch):
+    machine, asked = fst.Transducer(raw), []
+    solve = machine.shortest_path
+    monkeypatch.setattr(machine, "shortest_path", lambda unit: asked.append(unit) or solve(unit))
+    words = [np.base_repr(46_656 + i, 36).lower() for i in range(120_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    first = [machine.packed(t) for t in texts]
+    assert [machine.packed(t) for t in texts] == first
+    assert len(asked) == len(set(asked))
