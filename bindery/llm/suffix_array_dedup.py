@@ -24,7 +24,6 @@ are left, as both passes are cheaper than a table of all segments.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -37,18 +36,23 @@ from bindery.llm.rows import row_key, same_key, written
 from bindery.llm.suffix_automata import BASE, INVERSE, mixed, sliding_least
 
 WINDOW, GRAM = 100, 24
-LONGEST, PORTION, PLACE_BITS = 1000, 1 << 19, 20
+LONGEST, PORTION, PLACE_BITS = 1000, 1 << 17, 20
 SHARD_BYTES, HOT_BYTES, PART_WINDOWS, OUT_ROWS = 1_500_000, 8_000, 4_000, 5_000
 VALUES = np.random.default_rng(13).integers(0, 2**64, 256, dtype=np.uint64)
 DOC = ["no_id", "doc_id", "row_key"]
 DOC_TYPE = "no_id boolean, doc_id long, row_key long"
 
 
-@cache
+held_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+    """The first ``n`` powers and maybe more; one table per base is held, not one per size."""
+    if len(held_powers.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        held_powers[base] = np.cumprod(out, out=out)
+    return held_powers[base]
 
 
 class Hashes:
@@ -70,6 +74,13 @@ class Hashes:
         return mixed((self.sums[length:] - self.sums[:n]) * self.back[:n])
 
 
+def all_windows(data: np.ndarray) -> np.ndarray:
+    """The hashes of all windows; a run's hash does not depend on its place, so portions of the bytes give them."""
+    n = len(data) - WINDOW + 1
+    parts = [Hashes(data[i : min(i + PORTION, n) + WINDOW - 1]).every(WINDOW) for i in range(0, n, PORTION)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, first window, windows, anchor, segment, whether the anchor is there twice), by portions.
 
@@ -202,12 +213,13 @@ def sort_shard(pieces: pd.DataFrame) -> pd.DataFrame:
 
     # Trim to the windows whose hash is in the string again; runs of these are what is sorted.
     window = np.flatnonzero(np.arange(len(data)) <= (begin + sizes - WINDOW)[owner])
-    key = mixed(Hashes(data).every(WINDOW)[window] ^ mixed(string[owner[window]].astype(np.uint64)))
+    key = mixed(all_windows(data)[window] ^ mixed(string[owner[window]].astype(np.uint64)))
     order = np.argsort(key)
     equal = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     again = np.zeros(len(window), bool)
     again[order[equal]] = again[order[equal + 1]] = True
     window = window[again]
+    del key, order, equal, again
     if not len(window):
         return pieces.iloc[:0][DOC].assign(start=np.zeros(0, np.int64), length=np.zeros(0, np.int64))
     at = heads(window - np.arange(len(window)), owner[window])

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import awkward_texts, documents, prose
 
@@ -101,3 +103,18 @@ def test_suffix_arrays_against_sorting(alphabet):
         got = suffix_arrays(np.frombuffer(b"".join(strings), np.uint8), starts)
         for s, a, b in zip(strings, starts, starts[1:]):
             assert (got[a:b] - a).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_memory_of_long_texts_is_bounded_by_portions():
+    data = np.random.default_rng(2).integers(97, 123, 3_000_000).astype(np.uint8)
+    batch = pa.RecordBatch.from_pydict({"text": [data.tobytes().decode()]})
+    sd.held_powers.clear()
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in sd.list_anchors(iter([batch])))
+    keys = sd.all_windows(data)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows > 0 and len(keys) == len(data) - sd.WINDOW + 1
+    assert most - keys.nbytes * 2 < 32e6 and held - keys.nbytes < 12e6
+    some = data[sd.PORTION - 500 : sd.PORTION + 500]
+    assert (keys[sd.PORTION - 500 : sd.PORTION + 500 - sd.WINDOW + 1] == sd.Hashes(some).every(sd.WINDOW)).all()
