@@ -9,7 +9,8 @@ windows have equal anchors. Neighbouring windows of one anchor form a segment.
    an anchor become one, at the earliest place; at its other places all its windows
    start earlier elsewhere.
 2. Where an anchor has several segments, or is twice in one, these are trimmed to
-   the windows whose hash is there again and put together to one string, and the
+   the windows whose hash is there again and put together to one string, without
+   windows that are earlier in their own piece and runs that are there earlier, and the
    suffixes of all strings of a shard are sorted (``lyndon_groups``). Neighbours
    that agree in ``WINDOW`` bytes are one window; all but its earliest place go.
    The windows of any other segment are all different, so there is nothing to sort.
@@ -211,31 +212,67 @@ def sort_shard(pieces: pd.DataFrame) -> pd.DataFrame:
     string[heads(pieces["anchor"].to_numpy(), pieces["part"].to_numpy())[1:]] = 1
     string = np.cumsum(string)
 
-    # Trim to the windows whose hash is in the string again; runs of these are what is sorted.
+    def of_pieces(piece: np.ndarray, start: np.ndarray, length: np.ndarray) -> pd.DataFrame:
+        return pieces.iloc[piece][DOC].reset_index(drop=True).assign(start=start, length=length)
+
+    # Windows that are earlier in their own piece go at once: a text that repeats a word needs one of its periods.
+    documents = pieces.groupby(DOC, sort=True, dropna=False).ngroup().to_numpy(np.int64)
+    firsts = pieces["first"].to_numpy(np.int64) - begin
     window = np.flatnonzero(np.arange(len(data)) <= (begin + sizes - WINDOW)[owner])
     key = mixed(all_windows(data)[window] ^ mixed(string[owner[window]].astype(np.uint64)))
-    order = np.argsort(key)
-    equal = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    again = np.zeros(len(window), bool)
-    again[order[equal]] = again[order[equal + 1]] = True
-    window = window[again]
-    del key, order, equal, again
+    copies, held = [], memoryview(data)
+    order = np.argsort(key, kind="stable")
+    a, b = order[:-1], order[1:]
+    same = (key[a] == key[b]) & (owner[window[a]] == owner[window[b]])
+    if same.any():
+        a, b = a[same], b[same]
+        inner = np.sort(b[agree(data, window[a], window[b])])
+        gone = window[inner]
+        at = heads(gone - np.arange(len(gone)), owner[gone]) if len(gone) else gone
+        copies.append(of_pieces(owner[gone[at]], firsts[owner[gone[at]]] + gone[at], np.diff(at, append=len(gone)) + WINDOW - 1))
+        stay = np.ones(len(window), bool)
+        stay[inner] = False
+        window, key = window[stay], key[stay]
+    del order, a, b, same
+
+    # Trim to the windows whose hash is in the string again. Of equal runs of these only the earliest
+    # is sorted, as every window of the others starts earlier in it; then fewer windows are there again.
+    while True:
+        order = np.argsort(key)
+        equal = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        again = np.zeros(len(window), bool)
+        again[order[equal]] = again[order[equal + 1]] = True
+        window, key = window[again], key[again]
+        del order, equal, again
+        at = heads(window - np.arange(len(window)), owner[window]) if len(window) else window
+        start, runs = window[at], np.diff(at, append=len(window))
+        piece = owner[start]
+        by_place = np.lexsort((firsts[piece] + start, documents[piece]))
+        later, seen = np.zeros(len(at), bool), set()
+        for i, s, b, n in zip(by_place.tolist(), string[piece[by_place]].tolist(), start[by_place].tolist(), runs[by_place].tolist()):
+            run = (s, bytes(held[b : b + n + WINDOW - 1]))
+            later[i] = run in seen
+            seen.add(run)
+        del seen
+        if not later.any():
+            break
+        copies.append(of_pieces(piece[later], (firsts[piece] + start)[later], runs[later] + WINDOW - 1))
+        stay = np.repeat(~later, runs)
+        window, key = window[stay], key[stay]
     if not len(window):
-        return pieces.iloc[:0][DOC].assign(start=np.zeros(0, np.int64), length=np.zeros(0, np.int64))
-    at = heads(window - np.arange(len(window)), owner[window])
-    start, sizes = window[at], np.diff(at, append=len(window)) + WINDOW - 1
-    piece = owner[start]
-    first = pieces["first"].to_numpy(np.int64)[piece] + start - begin[piece]
+        return pd.concat(copies, ignore_index=True) if copies else of_pieces(window, window, window)
+    string = string[piece]
+    del key
+    sizes, first = runs + WINDOW - 1, firsts[piece] + start
     data = data[ranges(start, sizes)]
-    begin, string = np.cumsum(sizes) - sizes, string[piece]
+    begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)
     sorted_ = suffix_arrays(data, np.append(begin[heads(string)], len(data)))
 
     # Windows in order, and the place of each in the order of documents.
     sorted_ = sorted_[sorted_ <= (begin + sizes - WINDOW)[owner[sorted_]]]
     run = owner[sorted_]
-    documents = pieces.groupby(DOC, sort=True, dropna=False).ngroup().to_numpy(np.int64)[piece]
-    place = ((documents << 33) + first - begin)[run] + sorted_
+    place = ((documents[piece] << 33) + first - begin)[run] + sorted_
     new = np.ones(len(sorted_), bool)
     new[1:] = (string[run[1:]] != string[run[:-1]]) | ~agree(data, sorted_[1:], sorted_[:-1])
     at = np.flatnonzero(new)
@@ -244,10 +281,8 @@ def sort_shard(pieces: pd.DataFrame) -> pd.DataFrame:
 
     at = heads(gone - np.arange(len(gone)), owner[gone]) if len(gone) else gone
     rows = owner[gone[at]]
-    out = pieces.iloc[piece[rows]][DOC].reset_index(drop=True)
-    out["start"] = first[rows] + gone[at] - begin[rows]
-    out["length"] = np.diff(at, append=len(gone)) + WINDOW - 1
-    return out
+    copies.append(of_pieces(piece[rows], first[rows] + gone[at] - begin[rows], np.diff(at, append=len(gone)) + WINDOW - 1))
+    return pd.concat(copies, ignore_index=True)
 
 
 def trimmed(hot: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from cases import awkward_texts, documents, prose
@@ -118,3 +119,20 @@ def test_memory_of_long_texts_is_bounded_by_portions():
     assert most - keys.nbytes * 2 < 32e6 and held - keys.nbytes < 12e6
     some = data[sd.PORTION - 500 : sd.PORTION + 500]
     assert (keys[sd.PORTION - 500 : sd.PORTION + 500 - sd.WINDOW + 1] == sd.Hashes(some).every(sd.WINDOW)).all()
+
+
+def test_periods_and_equal_runs_are_not_sorted(monkeypatch):
+    rng = random.Random(8)
+    passage, word = prose(rng, 40).encode()[:180], b" The" * 200
+    edges = [bytes(rng.randrange(256) for _ in range(60)) for _ in range(40)]
+    held = [word, *(edges[i] + passage + edges[i + 20] for i in range(20))]
+    pieces = pd.DataFrame({"anchor": 1, "part": 0, "no_id": False, "doc_id": range(len(held)), "row_key": 0, "first": 5, "piece": held})
+    sorted_bytes = []
+    monkeypatch.setattr(sd, "suffix_arrays", lambda data, starts: sorted_bytes.append(len(data)) or suffix_arrays(data, starts))
+    gone = sd.sort_shard(pieces)
+    covered = {i: set() for i in range(len(held))}
+    for row in gone.itertuples(index=False):
+        covered[row.doc_id] |= set(range(row.start, row.start + row.length))
+    assert covered[0] == set(range(5 + 4, 5 + 800)) and covered[1] == set()
+    assert all(covered[i] == set(range(65, 65 + 180)) for i in range(2, 21))
+    assert sum(sorted_bytes) <= 400
