@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from bindery.llm.linkage import linked
-from bindery.llm.rows import free_name, row_key, same_key, written
+from bindery.llm.rows import free_name, row_key, same_key, small_batches, written
 
 SHINGLE, PERCENT = 5, 80
 PART_TOKENS, PART_SETS, BATCH_TOKENS = 500_000, 20_000, 500_000
@@ -320,6 +320,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     rows that repeat id and text are alike. Null texts and texts without words
     have no shingles, link with nothing and are chosen. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     found = F.col("found")
     sets = written(
         docs.select("doc_id", row_key().alias("row_key"), screened_set("text").alias("found")).select(

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
 from bindery.llm.lyndon_groups import heads, ranges, suffix_arrays
-from bindery.llm.rows import row_key, same_key, written
+from bindery.llm.rows import row_key, same_key, small_batches, written
 from bindery.llm.suffix_automata import BASE, INVERSE, mixed, sliding_least
 
 WINDOW, GRAM = 100, 24
@@ -309,6 +309,7 @@ def trimmed(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(no_id, doc_id, row_key, start, length) in bytes, 0-based, of what goes; ranges may overlap."""
+    small_batches(docs.sparkSession)
     texts = docs.select(
         F.col("doc_id").isNull().alias("no_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
